@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .media import media_table
+from .simhash import near_duplicates
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_table(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
