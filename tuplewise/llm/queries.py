@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
 from .common import table
 from .media import media_table
 from .simhash import near_duplicates
+from .token_store import token_store_digests
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +21,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op4_simhash": op4_simhash,
+    "op5_token_store": op5_token_store,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
