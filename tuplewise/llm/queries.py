@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, licenses
 from .bpe import bpe_round_trip
 from .common import table
 from .media import media_table
@@ -34,14 +34,20 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_licenses": licenses.oracle_sql(),
 }
