@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, licenses
 from .bpe import bpe_round_trip
 from .common import table
+from .langid import language_table
 from .media import media_table
 from .simhash import near_duplicates
 from .token_store import token_store_digests
@@ -18,6 +19,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_table(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_table(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_language": op2_language,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
     "op7_decontaminate": op7_decontaminate,
