@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .common import table
 from .langid import language_table
 from .media import media_table
+from .quality import quality_table
 from .simhash import near_duplicates
 from .token_store import token_store_digests
 
@@ -35,6 +36,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
+    "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op10_licenses": op10_licenses,
