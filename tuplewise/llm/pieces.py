@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 #: Entries of a generation of a cache, two of which are kept; longer pieces aren't kept between blocks.
-GENERATION, LONGEST = 250_000, 64
+PIECES, WORDS, LONGEST = 150_000, 400_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -43,26 +43,28 @@ class PieceEncoder:
 
     def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]]):
         self.encode_texts, self.encode_words = encode_texts, encode_words
-        self.known, self.words, self.marks = Generations(GENERATION), Generations(GENERATION), Generations(GENERATION // 8)
+        self.known, self.words, self.marks = Generations(PIECES), Generations(WORDS), Generations(PIECES // 8)
 
     def _learn(self, missing: list[str]) -> None:
         """Encode pieces (without their leading space)."""
-        plain, odd = [], []
-        for w in missing:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and len(w) <= LONGEST:
-                plain.append((w, core))
-            else:
-                odd.append(w)
-        cores = self.words.missing({core for _, core in plain})
-        self.words.new.update(zip(cores, self.encode_words([" " + c for c in cores]), strict=True))
-        tails = self.marks.missing({w[len(core) :] for w, core in plain})
-        self.marks.new.update(zip(tails, self.encode_texts(tails), strict=True))
-        word, tail = self.words.new, self.marks.new
+        cores = [w.rstrip(MARKS) for w in missing]
+        odd = [w for w, core in zip(missing, cores, strict=True) if not core.isalpha() or len(w) > LONGEST]
         new = self.known.new
-        for w, core in plain:
-            new[w] = word[core] + tail[w[len(core) :]]
-        new.update(zip(odd, self.encode_texts([" " + w for w in odd]), strict=True))
+        if odd:
+            new.update(zip(odd, self.encode_texts([" " + w for w in odd]), strict=True))
+            pairs = [(w, core) for w, core in zip(missing, cores, strict=True) if w not in new]
+        else:
+            pairs = zip(missing, cores, strict=True)
+        pairs = list(pairs)
+        unknown = self.words.missing({core for _, core in pairs})
+        self.words.new.update(zip(unknown, self.encode_words([" " + c for c in unknown]), strict=True))
+        word = self.words.new
+        marked = [(w, core) for w, core in pairs if len(w) != len(core)]
+        tails = self.marks.missing({w[len(core) :] for w, core in marked})
+        self.marks.new.update(zip(tails, self.encode_texts(tails), strict=True))
+        tail = self.marks.new
+        new.update([(w, word[w]) for w, core in pairs if len(w) == len(core)])
+        new.update([(w, word[core] + tail[w[len(core) :]]) for w, core in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)

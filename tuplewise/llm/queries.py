@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses
+from . import chat, decontaminate, licenses
 from .bpe import bpe_round_trip
 from .common import table
 from .langid import language_table
@@ -44,6 +44,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -56,10 +60,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
+    "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
     "op10_licenses": licenses.oracle_sql(),
 }
