@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontaminate, licenses
 from .bpe import bpe_round_trip
 from .common import table
+from .html_text import extract_text
 from .langid import language_table
 from .media import media_table
 from .quality import quality_table
@@ -24,6 +25,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_table(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_language": op2_language,
+    "op3_html": op3_html,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
     "op6_quality": op6_quality,
