@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lab
 from .catalog import Database, compute_join
+from .rdf import entail as ent
+from .rdf.dictionary import build_dictionary
+from .rdf.pipeline import build_store
 from .sources.files import read_csv_relation, write_relation
 
 #: Relations by name: table, columns (or expressions over them).
@@ -133,6 +139,135 @@ def least_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: Triples of the tables as SQL (subject, predicate, object), for Spark and DuckDB alike.
+def _ub(name: str) -> str:
+    return ent.ub(name)
+
+
+_TYPE = ent.RDF_TYPE
+_GEO = """
+SELECT '<http://example.org/nation' || CAST(n_nationkey AS STRING) || '>' AS s, '<http://example.org/inRegion>' AS p, '<http://example.org/region' || CAST(n_regionkey AS STRING) || '>' AS o, CAST(n_nationkey AS BIGINT) AS pos FROM nation
+UNION ALL SELECT '<http://example.org/nation' || CAST(n_nationkey AS STRING) || '>', '<http://example.org/ns#name>', '"' || n_name || '"', CAST(n_nationkey AS BIGINT) + 1000 FROM nation
+UNION ALL SELECT '<http://example.org/region' || CAST(r_regionkey AS STRING) || '>', '<http://example.org/ns#name>', '"' || r_name || '"', CAST(r_regionkey AS BIGINT) + 2000 FROM region
+"""
+_ORG = f"""
+SELECT '<http://u/c' || CAST(c_custkey AS STRING) || '>' AS s, '{_TYPE}' AS p, CASE WHEN c_custkey % 3 = 0 THEN '{_ub("GraduateStudent")}' WHEN c_custkey % 3 = 1 THEN '{_ub("FullProfessor")}' ELSE '{_ub("UndergraduateStudent")}' END AS o FROM customer
+UNION ALL SELECT '<http://u/c' || CAST(c_custkey AS STRING) || '>', CASE WHEN c_custkey % 50 = 1 THEN '{_ub("headOf")}' ELSE '{_ub("worksFor")}' END, '<http://u/n' || CAST(c_nationkey AS STRING) || '>' FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT '<http://u/c' || CAST(c_custkey AS STRING) || '>', '{_ub("mastersDegreeFrom")}', '<http://u/r' || CAST(c_nationkey % 5 AS STRING) || '>' FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT '<http://u/n' || CAST(n_nationkey AS STRING) || '>', '{_TYPE}', '{_ub("Department")}' FROM nation
+UNION ALL SELECT '<http://u/n' || CAST(n_nationkey AS STRING) || '>', '{_ub("subOrganizationOf")}', '<http://u/r' || CAST(n_regionkey AS STRING) || '>' FROM nation
+UNION ALL SELECT '<http://u/r' || CAST(r_regionkey AS STRING) || '>', '{_ub("subOrganizationOf")}', '<http://u/world>' FROM region
+"""
+
+
+def triples_of(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
+    """A triple table from SQL over some tables, which are views only while the plan is made."""
+    views = {t: f"{t}_{uuid.uuid4().hex}" for t in tables}
+    for t, view in views.items():
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
+        sql = re.sub(rf"FROM {t}\b", f"FROM {view}", sql)
+    df = spark.sql(sql)
+    df.schema  # analysed while the views are there
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return df
+
+
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples_of(spark, sf_dir, _GEO, ("nation", "region"))
+
+
+def _org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples_of(spark, sf_dir, _ORG, ("customer", "nation", "region"))
+
+
+def rdf_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_dictionary(_geo(spark, sf_dir))
+
+
+def rdf_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation of one predicate, in ids."""
+    store = build_store(_geo(spark, sf_dir))
+    return store.database().query("Q(S,O) :- inregion(S,O).")
+
+
+def rdf_bgp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SPARQL pattern over encoded triples, decoded."""
+    store = build_store(_geo(spark, sf_dir))
+    return store.select("PREFIX e: <http://example.org/> PREFIX n: <http://example.org/ns#> SELECT ?x ?y WHERE { ?a e:inRegion ?b ; n:name ?x . ?b n:name ?y }").toDF("x", "y")
+
+
+def rdf_bgp_const(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = build_store(_geo(spark, sf_dir))
+    return store.select("SELECT ?x WHERE { ?x <http://example.org/inRegion> <http://example.org/region1> }").toDF("x")
+
+
+def entail_step(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:
+    """What one kind of inference adds to the triples in a single round."""
+    t, o = _org(spark, sf_dir).distinct(), ent.univ_bench()
+    found = {
+        "subclass": lambda: ent.subclass_step(t, o),
+        "subproperty": lambda: ent.subproperty_step(t, o),
+        "inverse": lambda: ent.inverse_step(t.withColumn("p", F.when(F.col("p") == _ub("mastersDegreeFrom"), _ub("degreeFrom")).otherwise(F.col("p"))), o),
+        "transitive": lambda: ent.transitive_step(t, t, o),
+        "realise": lambda: ent.realise_step(t, t, o),
+    }[step]()
+    return found.distinct()
+
+
+def entail_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All consequences of the triples."""
+    return ent.entail(_org(spark, sf_dir))[0]
+
+
+def lab_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_orderkey")
+    return lab.pivot(df, "l_returnflag", "l_linestatus", "l_orderkey", "max", ["F", "O"])
+
+
+def lab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two return flags compared by line number, with whole numbers as values."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").cast("double").alias("mean_ns"))
+    df = df.select("l_returnflag", F.col("l_linenumber").cast("long").alias("line"), "mean_ns", F.col("mean_ns").alias("mean_lo"), F.col("mean_ns").alias("mean_hi"))
+    return lab.compare(df, "A", "R", "l_returnflag").select("line", "baseline_value", "target_value", F.round("speedup", 6).alias("speedup"))
+
+
+def lab_mannwhitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_quantity")
+    return lab.mann_whitney(df, "l_returnflag", "l_quantity", "A", "R").select("n1", "n2", F.round("u1", 1).alias("u1"))
+
+
+def _entailed_sql() -> str:
+    """The closure in DuckDB: a recursive union over the direct edges of the ontology."""
+    sub = ", ".join(f"('{a}', '{b}')" for a, bs in ent.univ_bench().superclasses.items() for b in bs)
+    prop = ", ".join(f"('{a}', '{b}')" for a, bs in ent.univ_bench().superproperties.items() for b in bs)
+    inv = ", ".join(f"('{a}', '{b}')" for a, bs in ent.univ_bench().inverses.items() for b in bs)
+    return f"""
+WITH RECURSIVE sc(a, b) AS (VALUES {sub}), sp(a, b) AS (VALUES {prop}), iv(a, b) AS (VALUES {inv}), base AS ({_ORG}),
+heads AS (SELECT DISTINCT x.s, '{_TYPE}' AS p, '{_ub("Chair")}' AS o FROM base x JOIN base y ON x.p = '{_ub("headOf")}' AND y.s = x.o AND y.p = '{_TYPE}' AND y.o = '{_ub("Department")}'),
+reach(s, o) AS (SELECT s, o FROM base WHERE p = '{_ub("subOrganizationOf")}' UNION SELECT r.s, b.o FROM reach r JOIN base b ON b.p = '{_ub("subOrganizationOf")}' AND b.s = r.o),
+t0 AS (SELECT s, p, o FROM base UNION SELECT * FROM heads UNION SELECT s, '{_ub("subOrganizationOf")}', o FROM reach),
+t1 AS (SELECT * FROM t0 UNION SELECT s, sp.b, o FROM t0 JOIN sp ON p = sp.a),
+t2 AS (SELECT * FROM t1 UNION SELECT o, iv.b, s FROM t1 JOIN iv ON p = iv.a AND NOT starts_with(o, '"'))
+SELECT * FROM t2 UNION SELECT s, p, sc.b FROM t2 JOIN sc ON p = '{_TYPE}' AND o = sc.a
+"""
+
+
+def _step_sql(step: str) -> str:
+    o = ent.univ_bench()
+    pairs = lambda table: ", ".join(f"('{a}', '{b}')" for a, bs in table.items() for b in bs)
+    base = f"WITH RECURSIVE base AS ({_ORG})"
+    return {
+        "subclass": f"{base} SELECT DISTINCT s, p, v.b AS o FROM base JOIN (VALUES {pairs(o.superclasses)}) v(a, b) ON o = v.a AND p = '{_TYPE}'",
+        "subproperty": f"{base} SELECT DISTINCT s, v.b AS p, o FROM base JOIN (VALUES {pairs(o.superproperties)}) v(a, b) ON p = v.a",
+        "inverse": f"{base} SELECT DISTINCT o AS s, '{_ub('hasAlumnus')}' AS p, s AS o FROM base WHERE p = '{_ub('mastersDegreeFrom')}'",
+        "transitive": f"{base} SELECT DISTINCT x.s, x.p, y.o FROM base x JOIN base y ON x.p = '{_ub('subOrganizationOf')}' AND y.p = x.p AND y.s = x.o",
+        "realise": f"{base} SELECT DISTINCT x.s, '{_TYPE}' AS p, '{_ub('Chair')}' AS o FROM base x JOIN base y ON x.p = '{_ub('headOf')}' AND y.s = x.o AND y.p = '{_TYPE}' AND y.o = '{_ub('Department')}'",
+    }[step]
+
+
+_STEPS = ("subclass", "subproperty", "inverse", "transitive", "realise")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_rule, rule=rule) for name, (rule, _) in RULES.items()}
 QUERIES |= {
     "triangle_generic": partial(run_rule, rule=RULES["triangle"][0], strategy="generic"),
@@ -144,6 +279,15 @@ QUERIES |= {
     "project_api": project_api,
     "insert_api": insert_api,
     "least_upper_bound": least_upper_bound,
+    "rdf_dictionary": rdf_dictionary,
+    "rdf_encoded": rdf_encoded,
+    "rdf_bgp": rdf_bgp,
+    "rdf_bgp_const": rdf_bgp_const,
+    **{f"entail_{step}": partial(entail_step, step=step) for step in _STEPS},
+    "entail_fixpoint": entail_fixpoint,
+    "lab_pivot": lab_pivot,
+    "lab_compare": lab_compare,
+    "lab_mannwhitney": lab_mannwhitney,
 }
 
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in RULES.items()}
@@ -157,6 +301,15 @@ ORACLE_SQL |= {
     "project_api": 'SELECT DISTINCT l_suppkey AS "S", l_partkey AS "P" FROM lineitem',
     "insert_api": 'SELECT CAST(n_nationkey AS BIGINT) AS "N", CAST(n_regionkey AS BIGINT) AS "R" FROM nation UNION VALUES (0, 0), (100, 1), (101, 2)',
     "least_upper_bound": 'SELECT l_partkey AS "P", min(l_suppkey) AS "S" FROM lineitem WHERE l_suppkey >= 6 GROUP BY l_partkey',
+    "rdf_dictionary": f"WITH t AS ({_GEO}), f AS (SELECT v AS value, min(3 * pos + k) AS first FROM (SELECT s AS v, pos, 0 AS k FROM t UNION ALL SELECT p, pos, 1 FROM t UNION ALL SELECT o, pos, 2 FROM t) GROUP BY v) SELECT row_number() OVER (ORDER BY first) - 1 AS id, value FROM f",
+    "rdf_encoded": f"WITH t AS ({_GEO}), f AS (SELECT v AS value, min(3 * pos + k) AS first FROM (SELECT s AS v, pos, 0 AS k FROM t UNION ALL SELECT p, pos, 1 FROM t UNION ALL SELECT o, pos, 2 FROM t) GROUP BY v), d AS (SELECT row_number() OVER (ORDER BY first) - 1 AS id, value FROM f) SELECT DISTINCT a.id AS \"S\", b.id AS \"O\" FROM t JOIN d a ON a.value = s JOIN d b ON b.value = o WHERE p = '<http://example.org/inRegion>'",
+    "rdf_bgp": "SELECT DISTINCT '\"' || n_name || '\"' AS x, '\"' || r_name || '\"' AS y FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "rdf_bgp_const": "SELECT DISTINCT '<http://example.org/nation' || CAST(n_nationkey AS STRING) || '>' AS x FROM nation WHERE n_regionkey = 1",
+    **{f"entail_{step}": _step_sql(step) for step in _STEPS},
+    "entail_fixpoint": _entailed_sql(),
+    "lab_pivot": 'SELECT l_returnflag, max(l_orderkey) FILTER (l_linestatus = \'F\') AS "F", max(l_orderkey) FILTER (l_linestatus = \'O\') AS "O" FROM lineitem GROUP BY l_returnflag',
+    "lab_compare": "WITH g AS (SELECT l_returnflag AS f, CAST(l_linenumber AS BIGINT) AS line, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL) SELECT a.line, a.n AS baseline_value, b.n AS target_value, round(a.n / b.n, 6) AS speedup FROM g a JOIN g b ON a.line = b.line AND a.f = 'A' AND b.f = 'R'",
+    "lab_mannwhitney": "WITH d AS (SELECT l_returnflag AS f, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')), r AS (SELECT f, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM d) SELECT count(*) FILTER (f = 'A') AS n1, count(*) FILTER (f = 'R') AS n2, round(sum(k) FILTER (f = 'A') - count(*) FILTER (f = 'A') * (count(*) FILTER (f = 'A') + 1) / 2.0, 1) AS u1 FROM r",
 }
 
 
