@@ -81,7 +81,9 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     spark = df.sparkSession
     ship_package(spark)
     added = T.StructType.fromDDL(schema)
-    out = T.StructType([df.schema[c] for c in keep] + list(added))
+    # plain names on the way through Python: kept columns may have any
+    out = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + list(added))
+    text_name = fresh("t", [f.name for f in out])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
@@ -99,12 +101,25 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
                     stop += 1
                 part = texts.slice(start, stop - start).to_pylist()
                 found = work(part)
-                columns = [batch.column(i).slice(start, stop - start).cast(arrow.field(i).type) for i in range(len(keep))]
+                columns = [c if c.type == f.type else c.cast(f.type) for c, f in ((batch.column(i).slice(start, stop - start), arrow.field(i)) for i in range(len(keep)))]
                 columns += [pa.array(found[f.name], type=arrow.field(f.name).type) for f in added]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 start = stop
 
-    return df.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    named = [c.alias(f"k{i}") for i, c in enumerate(quoted(keep))]
+    return df.select(*named, F.col(text_col).cast("string").alias(text_name)).mapInArrow(run, out).toDF(*keep, *added.names)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def doc_crc(doc_id: Column) -> Column:

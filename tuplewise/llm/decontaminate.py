@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 from .words import let, span, words_of
 
 SPAN, K = 13, 8
@@ -111,8 +111,8 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id has a contaminated text; null ids are judged together."""
-    bad = contamination(docs, items, text_col, id_col).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    bad = contamination(docs, items, text_col, id_col).where("contaminated").select(F.col(id_col).alias(fresh("bad", docs.columns))).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[bad.columns[0]]), "left_anti")
 
 
 ORACLE_SQL = """

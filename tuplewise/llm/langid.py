@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_crc, map_texts
+from .common import blocks, doc_crc, fresh, map_texts, quoted
 from .samples import sample_ids
 
 #: Families of languages by ISO 639-1 code; other languages are a family each.
@@ -165,9 +165,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     The driver gets about per_lang vectors of DIM numbers for each language (whole texts stay on the executors).
     """
-    labelled = docs.where(doc_crc(F.col(id_col)) % 5 != 0)
-    ids = sample_ids(labelled, id_col, F.col(lang_col), per_lang, salt=2)
-    chosen = labelled.where(F.col(lang_col).isNotNull()).join(F.broadcast(ids.select(F.col("id").alias("__id")).distinct()), labelled[id_col] == F.col("__id"), "left_semi")
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null").where(doc_crc(F.col("id")) % 5 != 0)
+    ids = sample_ids(labelled, "id", F.col("lang"), per_lang, salt=2)
+    chosen = labelled.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
 
     def make():
         def work(texts):
@@ -175,7 +175,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
         return work
 
-    rows = map_texts(chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), ["id", "lang"], "text", "x binary", make).collect()
+    rows = map_texts(chosen, ["id", "lang"], "text", "x binary", make).collect()
     rows.sort(key=lambda r: (r["id"], r["lang"], r["x"]))
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], np.float32).reshape(len(rows), DIM)
     return fit(x, [r["lang"] for r in rows], families)
@@ -216,6 +216,9 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     model = train(docs, text_col, lang_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    kept = docs.columns
+    flag = fresh("keep", kept)
+
     def make():
         m = shared.value
 
@@ -223,9 +226,8 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
             keep = []
             for _, part in blocks(texts):
                 keep += [v != UND and s >= min_score for v, s in zip(*m.predict(part), strict=True)]
-            return {"__keep": keep}
+            return {flag: keep}
 
         return work
 
-    kept = docs.columns
-    return map_texts(docs, kept, text_col, "__keep boolean", make).where("__keep").select(*kept)
+    return map_texts(docs, kept, text_col, f"{flag} boolean", make).where(F.col(flag)).select(*quoted(kept))

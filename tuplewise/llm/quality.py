@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_crc, map_texts
+from .common import blocks, doc_crc, fresh, map_texts, quoted
 from .samples import sample_ids
 
 PER_CLASS, BUCKET_BITS, DIMS, NGRAMS = 700, 16, 16, (2, 3, 4)
@@ -169,18 +169,18 @@ def score_texts(texts: list[str], weights: np.ndarray, offset: float) -> list[fl
     return out
 
 
-def _scored(docs: DataFrame, model: Model, keep: list[str], text_col: str) -> DataFrame:
+def _scored(docs: DataFrame, model: Model, keep: list[str], text_col: str, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.folded())  # BUCKETS numbers
 
     def make():
         weights, offset = shared.value
 
         def work(texts):
-            return {"__score": score_texts(texts, weights, offset)}
+            return {name: score_texts(texts, weights, offset)}
 
         return work
 
-    return map_texts(docs, keep, text_col, "__score double", make)
+    return map_texts(docs, keep, text_col, f"{name} double", make)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -189,12 +189,13 @@ def quality_table(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     Null texts are empty ones and get the score of no evidence; so does everything where fewer than two classes are labelled.
     Repeated rows and ids give a row each; an empty table an empty one. Null ids aren't held out, and labels without a document, or null ones, teach nothing.
     """
-    scored = _scored(docs, train(docs, labels, text_col, id_col=id_col), [id_col], text_col)
+    scored = _scored(docs, train(docs, labels, text_col, id_col=id_col), [id_col], text_col, "score")
     held = F.coalesce(doc_crc(F.col(id_col)) % 3 == 1, F.lit(False))
-    return scored.select(id_col, held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows that score below min_score. One pass; nothing is shuffled."""
     kept = docs.columns
-    return _scored(docs, train(docs, labels, text_col, id_col=id_col), kept, text_col).where(F.col("__score") >= min_score).select(*kept)
+    name = fresh("score", kept)
+    return _scored(docs, train(docs, labels, text_col, id_col=id_col), kept, text_col, name).where(F.col(name) >= min_score).select(*quoted(kept))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, durable, map_texts, ship_package
+from .common import blocks, durable, fresh, map_texts, ship_package
 from .components import connected_components
 
 RADIUS, BITS, SHARD, SEED = 2, 64, 1024, 42
@@ -217,5 +217,5 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     Of rows with equal id and text one stays; rows of a kept id with different texts all stay.
     """
     found = near_duplicates(df, text_col, id_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col, text_col])
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(fresh("kept", df.columns))).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept[kept.columns[0]]), "left_semi").dropDuplicates([id_col, text_col])
