@@ -38,6 +38,8 @@ class Piece:
     filtered: bool
     #: The frame may repeat rows because columns were dropped.
     loose: bool
+    #: Another atom reads the same relation.
+    shared: bool = False
 
     @property
     def size(self) -> int:
@@ -54,6 +56,27 @@ def atom_frame(df: DataFrame, atom: BoundAtom) -> DataFrame:
     return df.select([F.col(f"a{i}").alias(v) for i, v in atom.columns])
 
 
+def drop_private(pieces: list[Piece], needed: frozenset[str]) -> list[Piece]:
+    """Without columns that stand in one atom only and that nobody asks for: existence is all that counts."""
+    for p in pieces:
+        keep = p.vars & (needed | frozenset().union(*(o.vars for o in pieces if o is not p)))
+        if keep != p.vars and keep:
+            p.df, p.vars, p.loose = p.df.select(*sorted(keep)), keep, True
+    return pieces
+
+
+def make_sets(pieces: list[Piece]) -> list[Piece]:
+    """Repeats removed where they would multiply: all over a cyclic body, else in atoms that lost columns or share a relation.
+
+    Joins on keys, the common acyclic case, go without: there the final set costs less than one more shuffle an atom.
+    """
+    cyclic = join_tree([p.vars for p in pieces]) is None
+    for p in pieces:
+        if len(pieces) > 1 and (cyclic or p.loose or p.shared):
+            p.df = p.df.distinct()
+    return pieces
+
+
 def absorb_ears(pieces: list[Piece], needed: frozenset[str]) -> list[Piece]:
     """Turn existential ears into semi-joins of their witnesses, as long as there are any."""
     pieces = list(pieces)
@@ -131,17 +154,17 @@ def reduce_fully(pieces: list[Piece]) -> list[Piece]:
 
 
 def _binary(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
-    return join_greedily(absorb_ears(pieces, needed), needed)
+    return join_greedily(make_sets(absorb_ears(drop_private(pieces, needed), needed)), needed)
 
 
 def _yannakakis(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
-    return join_greedily(reduce_fully(absorb_ears(pieces, needed)), needed)
+    return join_greedily(reduce_fully(make_sets(absorb_ears(drop_private(pieces, needed), needed))), needed)
 
 
 def _generic(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
-    pieces = absorb_ears(pieces, needed)
+    pieces = absorb_ears(drop_private(pieces, needed), needed)
     if join_tree([p.vars for p in pieces]) is not None:
-        return join_greedily(pieces, needed)
+        return join_greedily(make_sets(pieces), needed)
     return extend_all([(p.vars, p.df) for p in pieces], needed)
 
 
@@ -166,7 +189,8 @@ def plan_rule(spark: SparkSession, relations: Mapping[str, DataFrame], rule: Rul
         if not atoms[0].vars:
             guards.append(atom_frame(relations[atoms[0].relation], atoms[0]))
             continue
-        pieces = [Piece(a.vars, atom_frame(relations[a.relation], a), bool(a.where), a.dropped) for a in atoms]
+        names = [a.relation for a in atoms]
+        pieces = [Piece(a.vars, atom_frame(relations[a.relation], a), bool(a.where), a.dropped, names.count(a.relation) > 1) for a in atoms]
         wanted = needed & frozenset().union(*(a.vars for a in atoms))
         if wanted:
             frames.append(STRATEGIES[strategy](pieces, wanted).select(*sorted(wanted)))
