@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, map_texts
+from .common import BLOCK_CHARS, blocks, map_texts
 from .pieces import PieceEncoder
 
 _NONE = np.int64(1) << 62
@@ -174,7 +174,7 @@ def encode_texts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         bpe = codec(path, pattern)
 
         def work(texts):
-            ids = [x for _, part in blocks(texts) for x in bpe.encode_bytes(part)]
+            ids = [x for _, part in blocks(texts, 4 * BLOCK_CHARS) for x in bpe.encode_bytes(part)]
             return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
         return work
@@ -195,7 +195,7 @@ def bpe_round_trip(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
         def work(texts):
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for _, part in blocks(texts):
+            for _, part in blocks(texts, 4 * BLOCK_CHARS):
                 for ids in bpe.encode_bytes(part):
                     out["n_tokens"].append(len(ids) // 4)
                     out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())

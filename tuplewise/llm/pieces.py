@@ -1,10 +1,13 @@
-"""Encode texts piece by piece with bounded caches.
+"""Encode many texts at once, by distinct words.
 
 Byte-level BPE first splits a text by a pattern, then merges inside each match. Wherever a single space
 stands before a non-space, a match begins at that space, so the text may be cut there: the pieces are
 encoded alone and joined. A space with white space on both sides (or before it at the text's end) lies inside a
 longer run, where this doesn't hold; such texts are encoded whole. A piece of letters and then ASCII marks is
-two matches, so words are remembered apart from the marks behind them.
+two matches, so words are encoded, and remembered, apart from the marks behind them.
+
+Texts are cut and their distinct pieces found by Arrow's kernels; Python sees each distinct word of a block once. The
+ids of all texts are then gathered from those of the words by numpy, as one flat array with the places where texts begin.
 """
 
 from __future__ import annotations
@@ -12,9 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
-#: Entries of a generation of a cache, two of which are kept; longer pieces aren't kept between blocks.
-PIECES, WORDS, LONGEST = 150_000, 400_000, 64
+#: Words of a generation of the cache, two of which are kept; longer words aren't kept between blocks.
+WORDS, LONGEST = 600_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -24,71 +31,102 @@ class Generations:
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def missing(self, wanted: set[str]) -> list[str]:
+    def missing(self, wanted: list[str]) -> list[str]:
         """What of `wanted` isn't known; the rest is in .new afterwards."""
-        wanted = wanted.difference(self.new)
-        old, new = self.old, self.new
-        found = old.keys() & wanted
-        for w in found:
-            new[w] = old[w]
-        return list(wanted.difference(found))
+        new, old, out = self.new, self.old, []
+        for w in wanted:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    out.append(w)
+        return out
 
     def turn(self) -> None:
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
 
 
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + sizes[i]] for i in pick, one behind the other."""
+    n = sizes[pick]
+    ends = np.cumsum(n)
+    shift = starts[pick] - (ends - n)
+    return flat[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PieceEncoder:
-    """encode_texts: whole texts to runs of bytes that may be joined; encode_words: the same for a space and letters each."""
+    """encode_texts: whole texts to packed unsigned 32-bit ids each; encode_words: the same for a space and letters each."""
 
     def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]]):
         self.encode_texts, self.encode_words = encode_texts, encode_words
-        self.known, self.words, self.marks = Generations(PIECES), Generations(WORDS), Generations(PIECES // 8)
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode pieces (without their leading space)."""
-        cores = [w.rstrip(MARKS) for w in missing]
-        odd = [w for w, core in zip(missing, cores, strict=True) if not core.isalpha() or len(w) > LONGEST]
-        new = self.known.new
-        if odd:
-            new.update(zip(odd, self.encode_texts([" " + w for w in odd]), strict=True))
-            pairs = [(w, core) for w, core in zip(missing, cores, strict=True) if w not in new]
-        else:
-            pairs = zip(missing, cores, strict=True)
-        pairs = list(pairs)
-        unknown = self.words.missing({core for _, core in pairs})
-        self.words.new.update(zip(unknown, self.encode_words([" " + c for c in unknown]), strict=True))
-        word = self.words.new
-        marked = [(w, core) for w, core in pairs if len(w) != len(core)]
-        tails = self.marks.missing({w[len(core) :] for w, core in marked})
-        self.marks.new.update(zip(tails, self.encode_texts(tails), strict=True))
-        tail = self.marks.new
-        new.update([(w, word[w]) for w, core in pairs if len(w) == len(core)])
-        new.update([(w, word[core] + tail[w[len(core) :]]) for w, core in marked])
+        self.words = Generations(WORDS)
+
+    def _units(self, pieces: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Encodings of parts of distinct pieces (each behind a space), and for each piece its first and second part; -1: none."""
+        cores = pc.utf8_rtrim(pieces, MARKS)
+        size, core_size = pc.binary_length(pieces).to_numpy(), pc.binary_length(cores).to_numpy()
+        plain = np.logical_and(pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False), core_size > 0)
+        first, second = np.full(len(pieces), -1, np.int64), np.full(len(pieces), -1, np.int64)
+        units: list[bytes] = []
+        if plain.any():
+            coded = cores.filter(pa.array(plain)).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            missing = self.words.missing(names)
+            self.words.new.update(zip(missing, self.encode_words([" " + w for w in missing]), strict=True))
+            units += map(self.words.new.__getitem__, names)
+            first[plain] = coded.indices.to_numpy()
+            for w in missing:
+                if len(w) > LONGEST:
+                    del self.words.new[w]
+            self.words.turn()
+            marked = np.flatnonzero(plain & (size > core_size))
+            if len(marked):
+                # marks are ASCII: as many bytes as characters
+                tails = [p[len(p) - n :] for p, n in zip(pieces.take(pa.array(marked)).to_pylist(), (size - core_size)[marked].tolist(), strict=True)]
+                known = {t: i for i, t in enumerate(dict.fromkeys(tails), len(units))}
+                units += self.encode_texts(list(known))
+                second[marked] = [known[t] for t in tails]
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            first[odd] = np.arange(len(units), len(units) + len(odd))
+            units += self.encode_texts([" " + p for p in pieces.take(pa.array(odd)).to_pylist()])
+        return units, first, second
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole, heads, tails = [], [], []
-        wanted: set[str] = set()
-        for i, text in enumerate(texts):
-            if INSIDE_RUN.search(text):
-                whole.append(i)
-                continue
-            head, *rest = text.split(" ")
-            heads.append((i, head))
-            tails.append(rest)
-            wanted.update(rest)
-        missing = self.known.missing(wanted)
-        self._learn(missing)
-        first = self.encode_texts([head for _, head in heads])
-        get = self.known.new.__getitem__
-        for (i, _), head, rest in zip(heads, first, tails, strict=True):
-            out[i] = head + b"".join(map(get, rest))
+        """Packed ids of each text."""
+        out = [b""] * len(texts)
+        regular = np.array([not INSIDE_RUN.search(t) for t in texts], bool)
+        whole = np.flatnonzero(~regular).tolist()
         for i, x in zip(whole, self.encode_texts([texts[i] for i in whole]), strict=True):
             out[i] = x
-        for w in missing:
-            if len(w) > LONGEST:
-                del self.known.new[w]
-        for cache in (self.known, self.words, self.marks):
-            cache.turn()
+        some = np.flatnonzero(regular).tolist()
+        if not some:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in some], pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        # a text's first piece has no space before it: it is a unit of its own
+        heads = offsets[:-1]
+        units, first, second = self._units(coded.dictionary.cast(pa.string()))
+        head_texts = split.values.take(pa.array(heads)).to_pylist()
+        base = len(units)
+        units += self.encode_texts(head_texts)
+        one, two = first[index], second[index]
+        one[heads] = base + np.arange(len(heads))
+        two[heads] = -1
+        order = np.stack([one, two], axis=1).ravel()
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        flat = np.frombuffer(b"".join(units), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        # -1 picks an empty run at the end
+        starts, sizes = np.append(starts, 0), np.append(sizes, 0)
+        ids = ragged(flat, starts, sizes, order)
+        per_piece = sizes[one] + sizes[two]
+        ends = np.cumsum(per_piece)
+        bounds = np.concatenate([[0], ends])[offsets]
+        raw = memoryview(ids.astype("<u4").tobytes())
+        for i, a, b in zip(some, (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True):
+            out[i] = bytes(raw[a:b])
         return out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_path, durable_at, map_texts, new_path, ship_package
+from .common import BLOCK_CHARS, blocks, drop_path, durable_at, map_texts, new_path, ship_package
 from .pieces import PieceEncoder
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 256, 4096, 10
@@ -156,7 +156,7 @@ def cut_documents(df: DataFrame, text_col: str, id_col: str, tokenizer: str) ->
 
         def work(texts):
             out = {"n_tokens": [], "root": [], "chunk_ids": [], "lengths": [], "chunks": []}
-            for _, part in blocks(texts):
+            for _, part in blocks(texts, 4 * BLOCK_CHARS):
                 for raw in enc.encode(part):
                     raw += end
                     ids = np.frombuffer(raw, "<u4")
