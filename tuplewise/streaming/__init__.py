@@ -1,0 +1 @@
+"""No operator of the query language is a stream operator; relations are bounded tables."""
