@@ -65,18 +65,19 @@ def features(texts: list[str]) -> np.ndarray:
 
 def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear support vector machine for labels +1 and -1 (both classes weigh the same): (weights, offset)."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    seen = np.full(x.shape[1] + 1, 1e-8)
+    x, y = np.ascontiguousarray(x, np.float32), y.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    seen = np.full(x.shape[1] + 1, 1e-8, np.float32)
     for _ in range(rounds):
         inside = y * (x @ w + b) < 1
-        pull = np.where(inside, weight * y, 0.0)
-        grad = np.append(decay * w - x.T @ pull, -pull.sum())
+        pull = np.where(inside, weight * y, np.float32(0))
+        grad = np.append(np.float32(decay) * w - pull @ x, -pull.sum())
         seen += grad * grad
-        step = 0.5 * grad / np.sqrt(seen)
+        step = np.float32(0.5) * grad / np.sqrt(seen)
         w -= step[:-1]
         b -= step[-1]
-    return w, b
+    return w, float(b)
 
 
 @dataclass
