@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 #: Words of a generation of the cache, two of which are kept; longer words aren't kept between blocks.
-WORDS, LONGEST = 600_000, 64
+WORDS, LONGEST = 400_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
