@@ -111,6 +111,30 @@ def test_store_notices_damage(spark, odd, tmp_path):
         token_store.verify_store(spark, other)
 
 
+@pytest.mark.parametrize("damage", ["row", "lengths", "shard"])
+def test_digests_notice_damaged_recipes(spark, tmp_path, damage):
+    from pyspark.sql import functions as F
+
+    path, other = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    words = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{words.randrange(10**6)}" for _ in range(2_500))) for i in range(6)], "doc_id long, text string")
+    token_store.write_store(docs, path)
+    assert token_store.read_digests(spark, path).count() == 6
+    recipes = spark.read.parquet(f"{path}/recipes")
+    bad = {
+        "row": recipes.where("doc_id <> 3"),
+        "lengths": recipes.withColumn("lengths", F.transform("lengths", lambda x, i: F.when(i == 0, x + 1).when(i == 1, x - 1).otherwise(x))),
+        "shard": recipes.where(F.col("shard") != recipes.agg(F.max("shard")).first()[0]),
+    }[damage]
+    bad.write.parquet(f"{other}/recipes")
+    for part in ("chunks", "manifest"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{other}/{part}")
+    with pytest.raises(Exception, match="length isn't the chunk's" if damage == "lengths" else "differ from the manifest"):
+        token_store.read_digests(spark, other).collect()
+    with pytest.raises(Exception, match="length isn't the chunk's" if damage == "lengths" else "differ from the manifest"):
+        token_store.verify_store(spark, other)
+
+
 def test_chat_escapes():
     t, rng = chat.Template(), random.Random(1)
     for _ in range(3000):

@@ -272,11 +272,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, doc_id, seq, start, n_tokens, entries of (chunk_id, place, after)): recipes checked against their roots and the manifest.
+    """(shard, doc_id, seq, start, n_tokens, entries of (chunk_id, place, n, after)): recipes checked against their roots and the manifest.
 
-    `start`: ids of all documents before; `place`, `after`: ids of the document before and behind a chunk.
+    `start`: ids of all documents before; `place`, `n`, `after`: ids of the document before, in and behind a chunk.
     """
     ship_package(spark)
+    check_shards(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,32 +288,46 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
                     raise CorruptStore("a document's recipe")
                 place, out = 0, []
                 for name, k in zip(names, lengths, strict=True):
-                    out.append({"chunk_id": name, "place": place, "after": n - place - k})
+                    out.append({"chunk_id": name, "place": place, "n": k, "after": n - place - k})
                     place += k
                 entries.append(out)
-            kind = pa.list_(pa.struct([("chunk_id", pa.binary()), ("place", pa.int64()), ("after", pa.int64())]))
+            kind = pa.list_(pa.struct([("chunk_id", pa.binary()), ("place", pa.int64()), ("n", pa.int32()), ("after", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(entries, kind)], names=["shard", "doc_id", "seq", "n_tokens", "entries"])
 
-    opened = recipes.select("shard", "doc_id", "seq", "n_tokens", "root", "chunk_ids", "lengths", F.col("n_tokens").alias("n")).mapInArrow(run, "shard int, doc_id long, seq long, n_tokens long, entries array<struct<chunk_id: binary, place: long, after: long>>")
+    opened = recipes.select("shard", "doc_id", "seq", "n_tokens", "root", "chunk_ids", "lengths", F.col("n_tokens").alias("n")).mapInArrow(run, "shard int, doc_id long, seq long, n_tokens long, entries array<struct<chunk_id: binary, place: long, n: int, after: long>>")
     before = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
     manifest = spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("shard_start"))
     return opened.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(manifest), "shard").withColumn("start", F.col("shard_start") + F.col("before")).drop("before", "shard_start")
 
 
+def check_shards(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Compare the manifest's shards with those of the recipes, at once; returns (documents, ids) or raises CorruptStore."""
+    starts = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a shard
+    found = _shard_roots(spark.read.parquet(f"{path}/recipes")).select("shard", F.struct("n_docs", "n_tokens", starts.alias("start"), "root").alias("found"))
+    told = spark.read.parquet(f"{path}/manifest").select("shard", F.struct("n_docs", "n_tokens", "start", "root").alias("told"))
+    same = F.col("told").eqNullSafe(F.col("found"))
+    bad, docs, ids = told.join(found, "shard", "full").agg(F.count_if(~same), F.sum("told.n_docs"), F.sum("told.n_tokens")).first()
+    if bad:
+        raise CorruptStore(f"{bad} shards differ from the manifest")
+    return docs or 0, ids or 0
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    recipes = read_recipes(spark, path).select("doc_id", "seq", "start", "n_tokens", F.explode("entries").alias("e")).select("doc_id", "seq", "start", "n_tokens", "e.chunk_id", F.col("e.after").alias("after"))
-    joined = recipes.join(read_chunks(spark, path).select("chunk_id", "crc"), "chunk_id", "left")
+    recipes = read_recipes(spark, path).select("doc_id", "seq", "start", "n_tokens", F.explode("entries").alias("e")).select("doc_id", "seq", "start", "n_tokens", "e.chunk_id", "e.n", "e.after")
+    joined = recipes.join(read_chunks(spark, path).select("chunk_id", F.col("n").alias("stored"), "crc"), "chunk_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc, after = batch.column(4), batch.column(5).to_numpy()
             if crc.null_count:
                 raise CorruptStore("a recipe names a chunk that isn't there")
+            if not batch.column(6).equals(batch.column(7)):
+                raise CorruptStore("a recipe's length isn't the chunk's")
             share = crc_shift(crc.to_numpy(), 4 * after).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(share)], names=["doc_id", "seq", "start", "n_tokens", "share"])
 
-    shares = joined.select("doc_id", "seq", "start", "n_tokens", "crc", "after").mapInArrow(run, "doc_id long, seq long, start long, n_tokens long, share long")
+    shares = joined.select("doc_id", "seq", "start", "n_tokens", "crc", "after", "n", "stored").mapInArrow(run, "doc_id long, seq long, start long, n_tokens long, share long")
     return shares.groupBy("seq").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.bit_xor("share").alias("ids_crc32")).drop("seq")
 
 
@@ -334,15 +349,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_store(spark: SparkSession, path: str) -> tuple[int, int]:
     """Check every chunk, recipe and shard; returns (documents, ids) or raises CorruptStore."""
+    found = check_shards(spark, path)
+    read_digests(spark, path).write.format("noop").mode("overwrite").save()
     read_chunks(spark, path).write.format("noop").mode("overwrite").save()
-    read_recipes(spark, path).write.format("noop").mode("overwrite").save()
-    found = _shard_roots(spark.read.parquet(f"{path}/recipes")).select("shard", F.struct("n_docs", "n_tokens", "root").alias("found"))
-    told = spark.read.parquet(f"{path}/manifest").select("shard", F.struct("n_docs", "n_tokens", "root").alias("told"), "n_docs", "n_tokens")
-    both = told.join(found, "shard", "full")
-    bad, docs, ids = both.agg(F.count_if(~F.col("told").eqNullSafe(F.col("found"))), F.sum("n_docs"), F.sum("n_tokens")).first()
-    if bad:
-        raise CorruptStore(f"{bad} shards differ from the manifest")
-    return docs or 0, ids or 0
+    return found
 
 
 def token_store_digests(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, path: str | None = None) -> DataFrame:
