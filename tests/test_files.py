@@ -81,3 +81,15 @@ def test_gzip_triples(spark, tmp_path):
     with gzip.open(tmp_path / "t.nt.gz", "wt") as f:
         f.write("<> <http://a> <http://b> .\n<http://s> <http://p> <http://o> .\n")
     assert read_ntriples(spark, str(tmp_path / "t.nt.gz"), skip_empty_subject=True).count() == 1
+
+
+@pytest.mark.parametrize("bad", [None, -1])
+def test_parquet_values_are_checked_with_the_query(spark, tmp_path, bad):
+    from tuplewise.catalog import Database
+
+    path = str(tmp_path / "r.parquet")
+    spark.createDataFrame([(1, 2), (3, bad)], "a int, b int").write.parquet(path)
+    db = Database(spark)
+    db.add_file(path)
+    with pytest.raises(Exception, match="b: not a non-negative integer"):
+        db.query("T(A, B) :- r(A, B).").collect()

@@ -72,7 +72,8 @@ def read_parquet_relation(spark: SparkSession, path: str, eager: bool = False) -
             raise InvalidDataError(f"{path}: {f.name} is {f.dataType.simpleString()}, not integral")
     if eager:
         return validate(df.select([F.col(f"`{c}`").cast("bigint").alias(c) for c in df.columns]), path)
-    return df.select([F.col(f"`{c}`").cast("bigint").alias(c) for c in df.columns])
+    cells = [(c, F.col(f"`{c}`").cast("bigint")) for c in df.columns]
+    return df.select([_checked(v, v.isNotNull() & (v >= 0), F.concat(F.lit(f"{c}: not a non-negative integer: "), F.coalesce(v.cast("string"), F.lit("missing")))).alias(c) for c, v in cells])
 
 
 def validate(df: DataFrame, what: str) -> DataFrame:
