@@ -66,14 +66,39 @@ def test_links_keep_every_class_at_any_shard_size(spark):
     fps = sorted(fps)
     roots = union(len(fps), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2])
     want = {frozenset(f for f, r in zip(fps, roots, strict=True) if r == k) for k in set(roots)}
-    frame = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    for shard in (1024, 12):
+    frame = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    for shard in (1024, 64, 12):
         groups = {}
         for r in components.connected_components(simhash.fingerprint_links(frame, shard)).collect():
             groups.setdefault(r.component, set()).add(r.node & (2**64 - 1))
         assert {frozenset(g) for g in groups.values()} == {g for g in want if len(g) > 1}
 
 
+def test_tables_of_shards_lose_no_link():
+    rng = random.Random(6)
+    for n in (10, 5_000, 10**7, 10**12):
+        cuts = simhash.first_cuts(n, 1024)
+        for _ in range(20):
+            x = rng.getrandbits(64)
+            y = x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+            level = cuts
+            for _ in range(9):
+                level = [c for c in level if not (x ^ y) & c.mask]
+                assert level
+                level = [p for c in level for p in c.parts()]
+
+
+def test_trees_hold_every_fingerprint(monkeypatch):
+    rng, seen = random.Random(7), []
+    add = simhash.BKTree.add
+    monkeypatch.setattr(simhash.BKTree, "add", lambda self, v: (seen.append(v), add(self, v))[1])
+    for size in (2, 3, 50):
+        values = [rng.getrandbits(64) for _ in range(size)]
+        seen.clear()
+        simhash.shard_links(values)
+        assert seen == values
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(500, 500), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -88,10 +113,6 @@ def test_near_duplicates(odd, empty):
     least = {k: min((ROWS[i][0] for i in range(len(ROWS)) if roots[i] == k and ROWS[i][0] is not None), default=None) for k in set(roots)}
     want = plain((i, f"{fp:016x}", least[r]) for (i, _, _), fp, r in zip(ROWS, fps, roots, strict=True))
     assert plain(rows) == want and simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert 1 in ids and 2 not in ids and ids.count(9) == 1
 
 
 def test_contamination(spark, duck, odd, empty):

@@ -7,7 +7,7 @@ import corpus_pipeline
 from tuplewise.llm import bpe, decontaminate, langid, quality
 
 from .conftest import DATA, plain
-from .test_dedup import brute_fingerprint, union
+from .test_near_copies import classes
 
 
 def test_run_equals_a_plain_version(spark, docs):
@@ -18,10 +18,7 @@ def test_run_equals_a_plain_version(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     weights, offset = quality.train(spark.createDataFrame(rows, docs.schema), labels).folded()
     rows = [r for r, s in zip(rows, quality.score_texts([r.text for r in rows], weights, offset), strict=True) if s >= quality.MIN_SCORE]
-    fps = [brute_fingerprint(r.text) for r in rows]
-    roots = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
-    least = {k: min(r.doc_id for r, root in zip(rows, roots, strict=True) if root == k) for k in set(roots)}
-    rows = [r for r, root in zip(rows, roots, strict=True) if r.doc_id == least[root]]
+    rows = [r for r, least in zip(rows, classes([(r.doc_id, r.text) for r in rows]), strict=True) if r.doc_id == least]
     words = lambda t: decontaminate_words(t)
     windows = set()
     for item in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():

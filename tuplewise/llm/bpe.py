@@ -13,11 +13,12 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import BLOCK_CHARS, blocks, map_texts
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, pack_units, strings
 
 _NONE = np.int64(1) << 62
 _POS = np.int64((1 << 32) - 1)
@@ -139,8 +140,9 @@ class SegmentTreeBPE:
         known.update(zip(known, self.merge([m.encode("utf-8", "surrogatepass") for m in known]), strict=True))
         return [b"".join(map(known.__getitem__, ms)) for ms in split]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        return self.merge([w.encode() for w in words]) if self.plain else self._encode_texts(words)
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        names = [" " + w for w in strings(words)]
+        return pack_units(self.merge([w.encode() for w in names]) if self.plain else self._encode_texts(names))
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

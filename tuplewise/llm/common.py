@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset and Spark is a single process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tuplewise-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -97,13 +101,12 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
         for batch in batches:
             texts = batch.column(len(keep))
             # slices of rows, so that one large batch never becomes one large list of Python strings
-            start = 0
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = done = 0
             while start < batch.num_rows:
-                size, stop = 0, start
-                while stop < batch.num_rows and (stop == start or size < 4 * BLOCK_CHARS):
-                    size += len(texts[stop].as_buffer() or b"")
-                    stop += 1
-                part = texts.slice(start, stop - start).to_pylist()
+                stop = min(batch.num_rows, int(np.searchsorted(ends, done + 4 * BLOCK_CHARS)) + 1)
+                done = int(ends[stop - 1])
+                part = texts.slice(start, stop - start).to_numpy(zero_copy_only=False).tolist()
                 found = work(part)
                 columns = [c if c.type == f.type else c.cast(f.type) for c, f in ((batch.column(i).slice(start, stop - start), arrow.field(i)) for i in range(len(keep)))]
                 columns += [pa.array(found[f.name], type=arrow.field(f.name).type) for f in added]

@@ -20,31 +20,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
-#: Words of a generation of the cache, two of which are kept; longer words aren't kept between blocks.
-WORDS, LONGEST = 400_000, 64
+#: Words that the table holds before it begins anew; longer words aren't kept.
+WORDS, LONGEST = 800_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Longer runs of marks are encoded with their word.
+TAIL = 8
 
 
-class Generations:
-    """A map that forgets what hasn't been used for a while."""
-
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
-
-    def missing(self, wanted: list[str]) -> list[str]:
-        """What of `wanted` isn't known; the rest is in .new afterwards."""
-        new, old, out = self.new, self.old, []
-        for w in wanted:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    out.append(w)
-        return out
-
-    def turn(self) -> None:
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
+def pack_units(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids as one array, and how many each unit has."""
+    return np.frombuffer(b"".join(units), "<u4"), np.fromiter(map(len, units), np.int64, len(units)) // 4
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -55,43 +40,69 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.nda
     return flat[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+class WordTable:
+    """Ids of words met before: a place for each word, and the ids of all places in one array."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def places(self, words: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A place for each of some distinct words; those not met before are encoded."""
+        if len(self.place) > self.limit:
+            self.clear()
+        names = strings(words)
+        get = self.place.get
+        out = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+        lacking = np.flatnonzero(out < 0)
+        if len(lacking):
+            flat, sizes = encode(words.take(pa.array(lacking)))
+            start = len(self.sizes)
+            out[lacking] = np.arange(start, start + len(lacking))
+            self.place.update(zip(map(names.__getitem__, lacking.tolist()), range(start, start + len(lacking)), strict=True))
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return out
+
+
 class PieceEncoder:
-    """encode_texts: whole texts to packed unsigned 32-bit ids each; encode_words: the same for a space and letters each."""
+    """encode_texts: whole texts to packed unsigned 32-bit ids each; encode_words: an Arrow array of words to the ids of a space and each word, in one array, and their counts."""
 
-    def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
         self.encode_texts, self.encode_words = encode_texts, encode_words
-        self.words = Generations(WORDS)
+        self.words = WordTable(WORDS)
 
-    def _units(self, pieces: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Encodings of parts of distinct pieces (each behind a space), and for each piece its first and second part; -1: none."""
+    def _units(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts of distinct pieces (each behind a space), their counts, and for each piece its first and second part; -1: none."""
         cores = pc.utf8_rtrim(pieces, MARKS)
         size, core_size = pc.binary_length(pieces).to_numpy(), pc.binary_length(cores).to_numpy()
-        plain = np.logical_and(pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False), core_size > 0)
+        plain = np.logical_and(pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False), core_size > 0) & (core_size <= LONGEST) & (size - core_size <= TAIL)
         first, second = np.full(len(pieces), -1, np.int64), np.full(len(pieces), -1, np.int64)
-        units: list[bytes] = []
         if plain.any():
             coded = cores.filter(pa.array(plain)).dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            missing = self.words.missing(names)
-            self.words.new.update(zip(missing, self.encode_words([" " + w for w in missing]), strict=True))
-            units += map(self.words.new.__getitem__, names)
-            first[plain] = coded.indices.to_numpy()
-            for w in missing:
-                if len(w) > LONGEST:
-                    del self.words.new[w]
-            self.words.turn()
-            marked = np.flatnonzero(plain & (size > core_size))
+            first[plain] = self.words.places(coded.dictionary, self.encode_words)[coded.indices.to_numpy()]
+        base = len(self.words.sizes)
+        units: list[bytes] = []
+        # marks are ASCII: as many bytes as characters
+        for n in range(1, TAIL + 1):
+            marked = np.flatnonzero(plain & (size - core_size == n))
             if len(marked):
-                # marks are ASCII: as many bytes as characters
-                tails = [p[len(p) - n :] for p, n in zip(pieces.take(pa.array(marked)).to_pylist(), (size - core_size)[marked].tolist(), strict=True)]
-                known = {t: i for i, t in enumerate(dict.fromkeys(tails), len(units))}
-                units += self.encode_texts(list(known))
-                second[marked] = [known[t] for t in tails]
+                tails = pc.utf8_slice_codeunits(pieces.take(pa.array(marked)), -n).dictionary_encode()
+                second[marked] = base + len(units) + tails.indices.to_numpy()
+                units += self.encode_texts(strings(tails.dictionary))
         odd = np.flatnonzero(~plain)
         if len(odd):
-            first[odd] = np.arange(len(units), len(units) + len(odd))
-            units += self.encode_texts([" " + p for p in pieces.take(pa.array(odd)).to_pylist()])
-        return units, first, second
+            first[odd] = base + np.arange(len(units), len(units) + len(odd))
+            units += self.encode_texts([" " + p for p in strings(pieces.take(pa.array(odd)))])
+        flat, sizes = pack_units(units)
+        return np.concatenate([self.words.flat, flat]), np.concatenate([self.words.sizes, sizes]), first, second
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -106,27 +117,23 @@ class PieceEncoder:
         split = pc.split_pattern(pa.array([texts[i] for i in some], pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
+        index = coded.indices.to_numpy()
         # a text's first piece has no space before it: it is a unit of its own
         heads = offsets[:-1]
-        units, first, second = self._units(coded.dictionary.cast(pa.string()))
-        head_texts = split.values.take(pa.array(heads)).to_pylist()
-        base = len(units)
-        units += self.encode_texts(head_texts)
-        one, two = first[index], second[index]
-        one[heads] = base + np.arange(len(heads))
-        two[heads] = -1
-        order = np.stack([one, two], axis=1).ravel()
-        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
-        flat = np.frombuffer(b"".join(units), "<u4")
-        starts = np.cumsum(sizes) - sizes
+        flat, sizes, first, second = self._units(coded.dictionary.cast(pa.string()))
+        more, more_sizes = pack_units(self.encode_texts(strings(split.values.take(pa.array(heads)))))
+        base = len(sizes)
         # -1 picks an empty run at the end
-        starts, sizes = np.append(starts, 0), np.append(sizes, 0)
-        ids = ragged(flat, starts, sizes, order)
-        per_piece = sizes[one] + sizes[two]
-        ends = np.cumsum(per_piece)
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes, [0]])
+        starts = np.cumsum(sizes) - sizes
+        order = np.empty((len(index), 2), np.int64)
+        np.take(first, index, out=order[:, 0])
+        np.take(second, index, out=order[:, 1])
+        order[heads, 0], order[heads, 1] = base + np.arange(len(heads)), -1
+        ids = ragged(flat, starts, sizes, order.ravel())
+        ends = np.cumsum(sizes[order[:, 0]] + sizes[order[:, 1]])
         bounds = np.concatenate([[0], ends])[offsets]
-        raw = memoryview(ids.astype("<u4").tobytes())
+        raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
         for i, a, b in zip(some, (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True):
             out[i] = bytes(raw[a:b])
         return out

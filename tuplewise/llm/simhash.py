@@ -3,24 +3,26 @@
 A fingerprint has a bit for each of 64 places: 1 if more than half of the text's 3-word shingles have it
 in their XXH64. Fingerprints that differ in at most RADIUS = 2 bits are linked.
 
-Search. Cut 64 bits into four blocks: two fingerprints with at most two differing bits agree on at least
-two whole blocks. So the distinct fingerprints are dealt to six tables of buckets, one for each pair of
-blocks, and every bucket is a shard with a BK-tree of its own: children stand under the integer Hamming
-distance to their parent, and a query follows only the edges d-2..d+2. A bucket with more than SHARD
-fingerprints is cut again: its free bits make three blocks, of which two differing bits leave one whole,
-and so on until a shard is bounded; with 10 free bits a bucket holds 1,024 at most, so this ends. Trees thus
-go only to the rows of their own bucket, SHARD nodes at most: sending all trees everywhere would grow with
-the corpus. Inside a shard a union-find keeps the links that join two classes, so a shard of n
-fingerprints yields n-1 links at most and never all pairs.
-
-Copies are folded before any of this (one row for each distinct fingerprint), and counts by bucket are
-pre-aggregated, so hot texts or buckets don't meet in one task.
+Search. The distinct fingerprints are dealt to shards of about SHARD / 2, and every shard has one BK-tree that holds all its fingerprints:
+children stand under the integer Hamming distance to their parent, and each fingerprint of the shard is looked up by the edges d-2..d+2
+alone. Three tables of shards lose no link: cut 64 bits into three blocks, and two differing bits leave at least one whole; the
+shards of a table are told apart by the first bits of its block, as many as the number of fingerprints asks for.
+A shard with more than SHARD fingerprints is dealt again by further bits of its block, and once that is used up by three blocks
+of the bits that are left; with no bit left a shard holds one fingerprint, so this ends.
+
+Trees are built where the shard's rows are, and go nowhere else. To broadcast them, as a single index in memory would, all
+fingerprints would have to pass the driver, and every tree would be asked by every fingerprint: the square of the corpus. Inside
+a shard a union-find keeps the links that join two classes, so a shard of n fingerprints yields n-1 links at most and never all pairs.
+
+Copies are folded before any of this (one row for each distinct fingerprint), and counts by shard are
+pre-aggregated, so hot texts or shards don't meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, durable, fresh, map_texts, ship_package
+from .common import blocks, durable, map_texts, ship_package
 from .components import connected_components
 
 RADIUS, BITS, SHARD, SEED = 2, 64, 1024, 42
+#: Bits by which a shard that is too large is dealt again.
+STEP = 4
 
 
 def shingle_fingerprint(text: str | None) -> int:
@@ -40,7 +44,11 @@ def shingle_fingerprint(text: str | None) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) >= 3 else [b" ".join(words)]
-    digests = b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED)))
+    return fingerprint_of(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))))
+
+
+def fingerprint_of(digests: bytes) -> int:
+    """The fingerprint of shingles, given as 8 bytes (big-endian) each."""
     n = len(digests) // 8
     raw = np.frombuffer(digests, np.uint8).reshape(n, 8)
     ones = np.zeros(BITS, np.int64)
@@ -49,7 +57,7 @@ def shingle_fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -58,7 +66,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     def make():
         def work(texts):
-            return {"fp": [_signed(shingle_fingerprint(t)) for _, part in blocks(texts) for t in part]}
+            return {"fp": [signed(shingle_fingerprint(t)) for _, part in blocks(texts) for t in part]}
 
         return work
 
@@ -99,15 +107,14 @@ class BKTree:
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
                 yield at
-            for e, child in self.children[at].items():
-                if d - radius <= e <= d + radius:
-                    stack.append(child)
+            children = self.children[at]
+            for e in range(d - radius, d + radius + 1):
+                if e in children:
+                    stack.append(children[e])
 
 
 def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (positions in `values`) that join classes of a shard: at most len(values) - 1."""
-    if len(values) == 2:
-        return [(0, 1)] if (values[0] ^ values[1]).bit_count() <= radius else []
     tree, root, out = BKTree(), list(range(len(values))), []
 
     def find(x: int) -> int:
@@ -134,12 +141,35 @@ def _spread(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _mask(bits: list[int]) -> int:
-    return _signed(sum(1 << b for b in bits))
+@dataclass(frozen=True)
+class Cut:
+    """A table of shards: those of equal bits under `mask`. `block`: further bits that two linked fingerprints of the table share; `free`: all others not in the mask."""
+
+    mask: int
+    block: tuple[int, ...]
+    free: tuple[int, ...]
+
+    def deeper(self, bits: int) -> Cut:
+        return Cut(self.mask | sum(1 << b for b in self.block[:bits]), self.block[bits:], self.free)
+
+    def parts(self) -> list[Cut]:
+        """Tables that part the shards of this one further and keep every link of RADIUS bits in at least one."""
+        if self.block:
+            return [self.deeper(STEP)]
+        return [Cut(self.mask, tuple(part), tuple(b for b in self.free if b not in part)).deeper(STEP) for part in _spread(list(self.free), RADIUS + 1) if part]
+
+
+def first_cuts(n: int, shard: int) -> list[Cut]:
+    """Tables for n fingerprints: one of a single shard if that is enough, else one a block, with about half a shard in each."""
+    everything = Cut(0, (), tuple(range(BITS)))
+    if n <= shard:
+        return [everything]
+    bits = max(1, (2 * n // shard - 1).bit_length())
+    return [Cut(0, tuple(part), tuple(b for b in range(BITS) if b not in part)).deeper(bits) for part in _spread(list(range(BITS)), RADIUS + 1)]
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (mask, value, fp) with the rows of a bucket together: the links of each bucket."""
+    """Over rows (cut, value, fp) with the rows of a shard together: the links of each shard, by its tree."""
     key, group = None, []
     us: list[int] = []
     vs: list[int] = []
@@ -157,10 +187,10 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for m, value, fp in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if (m, value) != key:
+        for cut, value, fp in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (cut, value) != key:
                 close()
-                key, group = (m, value), []
+                key, group = (cut, value), []
             group.append(fp)
         if us:
             yield flush()
@@ -170,28 +200,34 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     """(u, v): links between the fingerprints of `distinct` (fp long, no repeats) that keep every class whole."""
-    spark = distinct.sparkSession
-    ship_package(spark)
-    four = _spread(list(range(BITS)), 4)
-    # of a mask's bits, those not in it are free to differ
-    level = {_mask(a + b): [x for x in range(BITS) if x not in a + b] for a, b in combinations(four, 2)}
-    masks = F.array(*[F.lit(m) for m in level])
-    rows = distinct.select("fp", F.explode(masks).alias("mask"))
+    ship_package(distinct.sparkSession)
+    cuts = dict(enumerate(first_cuts(distinct.count(), shard)))
+    rows = distinct.select("fp", F.explode(F.array(*map(F.lit, cuts))).alias("cut"))
     out = None
     while True:
-        rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
-        sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-        rows = durable(rows.join(sizes, ["mask", "value"]), "buckets")
-        ready = rows.where(F.col("n") <= shard).select("mask", "value", "fp")
-        links = ready.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_link_groups, "u long, v long")
-        out = links if out is None else out.unionByName(links)
-        large = rows.where(F.col("n") > shard)
+        mask = F.create_map(*[x for k, c in cuts.items() for x in (F.lit(k), F.lit(signed(c.mask)))])
+        rows = rows.select("cut", mask[F.col("cut")].bitwiseAND(F.col("fp")).alias("value"), "fp")
+        sizes = rows.groupBy("cut", "value").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > shard).select("cut", "value")
         if large.isEmpty():
+            large = None
+        else:
+            large = durable(large, "large")  # a row a shard that is dealt again
+        ready = rows if large is None else rows.join(large, ["cut", "value"], "left_anti")
+        links = ready.repartition("cut", "value").sortWithinPartitions("cut", "value", "fp").mapInArrow(_link_groups, "u long, v long")
+        out = links if out is None else out.unionByName(links)
+        if large is None:
             return out
-        children = {m: [(part, [b for b in free if b not in part]) for part in _spread(free, RADIUS + 1)] for m, free in level.items()}
-        level = {_signed((m | _mask(part)) & 0xFFFFFFFFFFFFFFFF): free for m, parts in children.items() for part, free in parts}
-        finer = F.create_map(*[x for m, parts in children.items() for x in (F.lit(m), F.array(*[F.lit(_signed((m | _mask(part)) & 0xFFFFFFFFFFFFFFFF)) for part, _ in parts]))])
-        rows = large.select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
+        again = durable(rows.join(large, ["cut", "value"], "left_semi").select("cut", "fp"), "again")
+        finer, into = {}, []
+        for k, c in cuts.items():
+            names = []
+            for part in c.parts():
+                names.append(len(finer))
+                finer[len(finer)] = part
+            into += [F.lit(k), F.array(*map(F.lit, names))]
+        cuts = finer
+        rows = again.select("fp", F.explode(F.create_map(*into)[F.col("cut")]).alias("cut"))
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shard: int = SHARD) -> DataFrame:
@@ -209,13 +245,3 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     linked = linked.join(least, "component").select(F.col("fp").alias("linked_fp"), "least")
     named = durable(distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """df with one row of each near-duplicate class: that of the smallest id (a null id stays only where a class has no other).
-
-    Of rows with equal id and text one stays; rows of a kept id with different texts all stay.
-    """
-    found = near_duplicates(df, text_col, id_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(fresh("kept", df.columns))).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept[kept.columns[0]]), "left_semi").dropDuplicates([id_col, text_col])

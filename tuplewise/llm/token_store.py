@@ -20,11 +20,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -48,20 +50,21 @@ def default_tokenizer() -> str:
 
 
 class TokenEncoder:
-    """The tokenizers library behind a bounded cache of pieces; special strings in a text are ordinary text."""
+    """The tokenizers library, as its plain call encodes, behind a bounded table of words."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         # only there does a match begin at each single space; elsewhere whole texts go to the library
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = PieceEncoder(self._encode, self._encode_words)
         # each character of a token's string stands for a byte
         vocab = self.tokenizer.get_vocab()
@@ -72,22 +75,28 @@ class TokenEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Many words (a space and letters each) in one text for the library; its tokens' lengths tell where each one ends."""
-        out: list[bytes] = []
-        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for run, raw in zip(runs, self._encode(["".join(run) for run in runs]), strict=True):
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in run), np.int64, len(run)))
-            at = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
-            stops = np.searchsorted(at, ends)
-            if not np.array_equal(at[stops], ends):
-                raise ValueError("a token spans two words: the tokenizer doesn't split before spaces")
-            stops = (4 * (stops + 1)).tolist()
-            out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-        return out
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Many words, a space before each, in one text for the library; its tokens' lengths tell where each one ends."""
+        runs = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 500), len(words)), pa.int32()), words)
+        ids = np.frombuffer(b"".join(self._encode([" " + run for run in pc.binary_join(runs, " ").to_pylist()])), "<u4")
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        at = np.cumsum(self.bytes_of[ids])
+        stops = np.searchsorted(at, ends)
+        if not np.array_equal(at[stops], ends):
+            raise ValueError("a token spans two words: the tokenizer doesn't split before spaces")
+        return ids, np.diff(stops + 1, prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.pieces.encode(texts) if self.by_piece else self._encode(texts)
+        if not self.by_piece:
+            return self._encode(texts)
+        if self.added is None:
+            return self.pieces.encode(texts)
+        # the library finds added tokens in a text before it splits, so a text that holds one goes there whole
+        whole = {i: t for i, t in enumerate(texts) if self.added.search(t)}
+        out = self.pieces.encode(["" if i in whole else t for i, t in enumerate(texts)])
+        for i, x in zip(whole, self._encode(list(whole.values())), strict=True):
+            out[i] = x
+        return out
 
 
 _encoders: dict[str, TokenEncoder] = {}
