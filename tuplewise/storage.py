@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import EngineError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    """spark.checkpoint.dir; set here only where it is unset and Spark is a single process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tuplewise-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
