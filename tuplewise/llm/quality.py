@@ -12,6 +12,7 @@ logits is a sum over features. A text is then one pass over its bytes, with no c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, doc_crc, fresh, map_texts, quoted
-from .samples import sample_ids
+from .samples import bounded, sample_ids
 
 PER_CLASS, BUCKET_BITS, DIMS, NGRAMS = 700, 16, 16, (2, 3, 4)
 BUCKETS = 1 << BUCKET_BITS
@@ -33,7 +34,33 @@ def _hash(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+#: A byte's weight in a word's hash goes by its place in the word, modulo the length of this table.
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
+#: Bytes of a text whose features are found at once; a longer text is cut at white space (at a run without any: anywhere).
+SLICE = 500_000
+
+
+def slices(text: str) -> list[str]:
+    """A text in parts of at most SLICE characters, whose bags add up to its own. A word behind a cut at white space is told the word before by `bags`."""
+    out, at = [], 0
+    while len(text) - at > SLICE:
+        cut = max(text.rfind(c, at, at + SLICE) for c in " \n\t")
+        stop = cut if cut > at else at + SLICE
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
+
+
+def bags(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all features of one text, slice by slice."""
+    last: list[bytes] = []
+    for part in slices(text):
+        words = part.encode("utf-8", "surrogatepass").split(None, 1)
+        if last and words and last[-1] == words[0]:
+            yield np.array([_REPEAT])
+        if words:
+            last = part.encode("utf-8", "surrogatepass").rsplit(None, 1)[-1:]
+        yield bag([part])[0]
 
 
 def bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +93,7 @@ def bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(first):
         stop = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
         place = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b)))) if first[0] == 0 else np.arange(len(b)) - np.concatenate([np.zeros(first[0], np.int64), np.repeat(first, np.diff(np.append(first, len(b))))])
-        weighed = np.where(space, np.uint64(0), (wide + np.uint64(1)) * _POWERS[np.minimum(place, len(_POWERS) - 1)])
+        weighed = np.where(space, np.uint64(0), (wide + np.uint64(1)) * _POWERS[place % len(_POWERS)])
         word = np.add.reduceat(weighed, first, dtype=np.uint64)
         of = owner[first]
         buckets.append(_hash(word))
@@ -131,20 +158,23 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: in
 
 
 def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
-    buckets, _ = bag([text])
-    places, counts = np.unique(buckets, return_counts=True)
+    total = np.zeros(BUCKETS + 1, np.int64)
+    for buckets in bags(text):
+        total += np.bincount(buckets, minlength=BUCKETS + 1)
+    places = np.flatnonzero(total)
+    counts = total[places]
     return places, (counts / max(1, counts.sum())).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
     """Fit on a sample of labelled rows whose crc32(id as text) mod 3 isn't 1; of them only text and label are used.
 
-    The sample's ids are chosen from the labels alone; documents are then read once, and a bag a document reaches the driver.
+    The sample's ids are chosen from the labels alone; documents are then read once, and a bag a document reaches the driver, for never more than 2 x per_class documents a class.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(doc_crc(F.col("id")) % 3 != 1)
     marked = marked.groupBy("id").agg(F.min("label").alias("label"))
     ids = sample_ids(marked, "id", F.col("label"), per_class, salt=6).select(F.col("id").alias("__id"), F.col("label").alias("__label"))
-    chosen = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("__doc", "__label", "__text")
+    chosen = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(ids, F.col("__doc") == F.col("__id")).select("__doc", "__label", "__text")
 
     def make():
         def work(texts):
@@ -153,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
         return work
 
-    rows = map_texts(chosen, ["__doc", "__label"], "__text", "places binary, shares binary", make).collect()
+    most = 2 * per_class * max(1, ids.select("__label").distinct().count())
+    rows = map_texts(bounded(chosen, most), ["__doc", "__label"], "__text", "places binary, shares binary", make).collect()
     rows.sort(key=lambda r: (r["__doc"], r["places"], r["shares"]))
     return fit([(np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["shares"], "<f4")) for r in rows], [r["__label"] for r in rows])
 
@@ -161,10 +192,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 def score_texts(texts: list[str], weights: np.ndarray, offset: float) -> list[float]:
     """Probability of the good class for each text; texts without features get that of the offset alone."""
     out = []
-    for _, part in blocks(texts, 500_000):
-        buckets, owner = bag(part)
-        total = np.bincount(owner, weights[buckets], minlength=len(part))
-        count = np.bincount(owner, minlength=len(part))
+    for _, part in blocks(texts, SLICE):
+        if len(part) == 1:
+            # alone because it is long, or the last
+            found = [(weights[b].sum(dtype=np.float64), len(b)) for b in bags(part[0])]
+            total, count = np.array([sum(t for t, _ in found)]), np.array([sum(n for _, n in found)])
+        else:
+            buckets, owner = bag(part)
+            total = np.bincount(owner, weights[buckets], minlength=len(part))
+            count = np.bincount(owner, minlength=len(part))
         out += (1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + offset, -500, 500)))).tolist()
     return out
 
@@ -195,7 +231,11 @@ def quality_table(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows that score below min_score. One pass; nothing is shuffled."""
+    """docs without the rows that score below min_score. One pass; no text is shuffled.
+
+    Each row is judged by its own text: null ones as empty, with the score of no evidence; null or repeated ids and extra columns of any name
+    don't matter; an empty table stays one. Where fewer than two classes are labelled, nothing goes.
+    """
     kept = docs.columns
     name = fresh("score", kept)
     return _scored(docs, train(docs, labels, text_col, id_col=id_col), kept, text_col, name).where(F.col(name) >= min_score).select(*quoted(kept))
