@@ -135,3 +135,39 @@ def test_every_span_of_13_words_is_found(spark):
     rows = [(i, " ".join([*(f"x{rng.randrange(10**6)}" for _ in range(i % 9)), *item[i : i + 13], "end"])) for i in range(28)] + [(100 + i, " ".join(item[i : i + 12])) for i in range(29)]
     got = {r.doc_id: r.n_hit for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {**{i: 13 for i in range(28)}, **{100 + i: 0 for i in range(29)}}
+
+
+def test_long_text_and_items_of_every_length(spark, duck):
+    import time
+
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(4_000)}" for _ in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[7:60]))], "doc_id long, text string")
+    items = spark.createDataFrame([(n, " ".join(words[50 * n : 51 * n])) for n in range(1, 31)], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert time.time() - began < 60
+    want = set()
+    for n in range(1, 31):
+        for k in range(max(1, n - 12)):
+            win = words[50 * n + k : 50 * n + k + min(n, 13)]
+            want |= {p for i in range(len(words) - len(win) + 1) if words[i] == win[0] and words[i : i + len(win)] == win for p in range(i, i + len(win))}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (100_000, len(want), 30)
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice("abcdefg") + str(rng.randrange(3)) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(120))) for i in range(80)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text(n)) for i, n in enumerate((1, 2, 3, 7, 12, 13, 20, 40))] + [(50, docs.first().text)], "item_id long, text string")
+    whole = plain(decontaminate.contamination(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "CHUNK", 17)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 12)
+    assert plain(decontaminate.contamination(docs, items).collect()) == whole
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, item), (None, "clean text"), (5, item + " x"), (5, "clean too"), (6, None), (7, "")]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert plain(kept.collect()) == plain([(None, "clean text"), (5, "clean too"), (6, None), (7, "")])
