@@ -5,7 +5,8 @@ text in links, length and shape of its own text) give it a potential, and every
 two-by-two potential. Sum-product messages, once up and once down the tree, yield each node's exact marginal; a
 text block is kept if its node's marginal is at least one half. All potentials are trained together, by the gradient
 observed minus expected (both exact on a tree), from labelled pages: drawn by a seeded generator here, as the tables
-have no labels. Scripts, styles and the head are never text.
+have no labels. Scripts, styles, the head and what a form's fields hold are never text; all else, formulas, buttons and drawings among it, is
+for the model to judge.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from .common import map_texts
 
 #: Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video select datalist textarea button option meta link base".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img html body".split()) - {"html", "body"}
+UNSEEN = frozenset("script style head title template iframe select datalist textarea".split())
+#: Elements that are blocks; others, MathML, SVG and unknown ones among them, belong to the text around them. Names with a hyphen are taken for blocks.
+BLOCKS = frozenset(
+    "html body address article aside blockquote caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup "
+    "legend li main menu nav noframes noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+)
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag that ends open elements of these names, up to the nearest of those it stands in.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("thead", "tbody", "tr"), "tfoot": ("tbody", "tr"), "option": ("option",)}
@@ -43,13 +48,14 @@ class Node:
 
 
 class Dom(HTMLParser):
-    """A tree of block elements; text of inline elements belongs to the block around them."""
+    """A tree of block elements; text of inline elements belongs to the block around them. Each tag costs the same, however deep it stands."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#page", -1)]
-        #: Open elements: (tag, node, whether it is a block).
+        #: Open elements: (tag, node); and for each tag the places where it is open.
         self.open: list[tuple[str, int]] = [("#page", 0)]
+        self.places: dict[str, list[int]] = {"#page": [0]}
         self.unseen = self.links = self.order = 0
         self.parts: list[str] = []
 
@@ -60,6 +66,10 @@ class Dom(HTMLParser):
             self.nodes[self.open[-1][1]].runs.append((self.order, text))
             self.order += 1
 
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, node))
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -71,7 +81,7 @@ class Dom(HTMLParser):
         if self.unseen:
             # inside what isn't shown only its own nesting counts; page structure ends a head that was never closed
             if tag in UNSEEN:
-                self.open.append((tag, self.open[-1][1]))
+                self.push(tag, self.open[-1][1])
                 self.unseen += 1
                 return
             if self.open[-1][0] == "head" and tag not in ("html",):
@@ -84,19 +94,19 @@ class Dom(HTMLParser):
             while self.close_until(ENDS[tag], SCOPE[tag]):
                 pass
         if tag in UNSEEN:
-            self.open.append((tag, self.open[-1][1]))
+            self.push(tag, self.open[-1][1])
             self.unseen += 1
-        elif tag in INLINE:
-            self.links += tag == "a"
-            self.open.append((tag, self.open[-1][1]))
-        else:
+        elif tag in BLOCKS or "-" in tag:
             self.flush()
             words = []
             for name, value in attrs:
                 if name in ("class", "id", "role") and value:
                     words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())[:20]
             self.nodes.append(Node(tag, self.open[-1][1], tuple(words)))
-            self.open.append((tag, len(self.nodes) - 1))
+            self.push(tag, len(self.nodes) - 1)
+        else:
+            self.links += tag == "a"
+            self.push(tag, self.open[-1][1])
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -104,34 +114,35 @@ class Dom(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> None:
-        tag, node = self.open[-1]
+        tag, _ = self.open[-1]
         if tag in UNSEEN:
             self.unseen -= 1
-        elif tag in INLINE:
-            self.links -= tag == "a"
-        else:
+        elif tag in BLOCKS or "-" in tag:
             self.flush()
+        else:
+            self.links -= tag == "a"
         self.open.pop()
+        self.places[tag].pop()
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
 
     def close_until(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> bool:
         """Close the nearest open element of `tags`, if none of `scope` stands before it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k][0]
-            if tag in tags:
-                while len(self.open) > k:
-                    self.pop()
-                return True
-            if tag in scope:
-                return False
-        return False
+        k = self.nearest(tags)
+        if not k or self.nearest(tuple(t for t in scope if t not in tags)) > k:
+            return False
+        while len(self.open) > k:
+            self.pop()
+        return True
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.parts.append(" ")
         if tag in ("body", "html") or tag in VOID:
             return
-        scope = ("#page",) if tag not in INLINE else ("#page", "td", "th", "article", "section", "div", "li")
-        self.close_until((tag,), scope)
+        inline = tag not in BLOCKS and tag not in UNSEEN and "-" not in tag
+        self.close_until((tag,), ("#page", "td", "th", "article", "section", "div", "li") if inline else ("#page",))
 
     def handle_data(self, data: str) -> None:
         if self.unseen:
