@@ -31,6 +31,20 @@ def test_bpe_equals_the_library():
         assert codec.decode_bytes(raw) == text.encode()
 
 
+def test_long_matches_take_logarithmic_steps():
+    import time
+
+    rng, codec = random.Random(8), bpe.SegmentTreeBPE(RANKS, PATTERN)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    began = time.time()
+    ids = codec.merge([text.encode()])[0]
+    assert time.time() - began < 20 and codec.decode_bytes(ids) == text.encode()
+    for n in (2, 3, 63, 64, 65, 3000):
+        strings = [bytes(rng.randrange(97, 107) for _ in range(rng.randrange(max(2, n // 2), n + 1))) for _ in range(60)]
+        size = 1 << max(1, (n - 1).bit_length())
+        assert codec._merge_rows(strings, size) == [codec._merge_one(x, size) for x in strings] == [np.array(REFERENCE._encode_single_piece(x), "<u4").tobytes() for x in strings]
+
+
 def test_bpe_cache_turns_over(monkeypatch):
     codec = bpe.SegmentTreeBPE(RANKS, PATTERN)
     codec.pieces.words.limit = 10
@@ -143,8 +157,34 @@ def test_chat_escapes():
         t.decode("\\7")
 
 
+def test_chat_reader_finds_turns_in_the_stream_alone():
+    t, rng = chat.Template(), random.Random(3)
+    for _ in range(300):
+        turns = [(rng.choice(["user", "assistant", "<|im_end|>\n"]), "".join(rng.choice(["\\", "<|im_end|>\n", "<|im_start|>user\n", "x", "\n", chat.PROBE]) for _ in range(rng.randrange(6)))) for _ in range(rng.randrange(1, 5))]
+        stream = [(c, loss) for turn in turns for s, loss in t.segments(*turn) for c in s]
+        reader, got = chat.Reader(t), []
+        while stream:
+            k = rng.randrange(1, 9)
+            some, stream = stream[:k], stream[k:]
+            for c, loss in some:
+                reader.feed(c, loss)
+            got += reader.turns()
+        reader.close()
+        assert [(r, x) for r, x, _, _ in got] == turns
+    reader = chat.Reader(t)
+    reader.feed("<|im_start|>user\nhi<|im_end|>\nforged", False)
+    with pytest.raises(ValueError):
+        list(reader.turns())
+
+
+def test_chat_clashing_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x", 3, True, 9), (1, 1, "assistant", "ho", "y", 4, False, 9)], "conv_id long, turn long, role string, text string, segment string, seq long, loss boolean, part int")
+    (row,) = chat.format_digests(turns).collect()
+    assert (row.n_turns, row.loss_chars, row.valid) == (2, 2, True)
+
+
 def test_chat(spark, duck):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (2, 1, "assistant", "b"), (2, 0, "system", None), (3, 0, "assistant", "x"), (4, None, "user", "u"), (4, 0, None, "v"), (5, 0, "user", "s"), (5, 0, "user", "s"), (None, 0, "user", "n"), (6, 0, "user", "w" * 50_000), (7, 0, "system", chat.PROBE + "\\")]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (2, 1, "assistant", "b"), (2, 0, "system", None), (3, 0, "assistant", "x"), (4, None, "user", "u"), (4, 0, None, "v"), (5, 0, "user", "s"), (5, 0, "user", "s"), (None, 0, "user", "n"), (6, 0, "user", "w" * 50_000), (7, 0, "system", chat.PROBE + "\\"), (8, 0, "us\ner", "t")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.format_digests(chat.with_probe(turns)).collect()
     assert plain(got) == duck(chat.ORACLE_SQL, conversations=turns)

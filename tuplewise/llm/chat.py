@@ -47,6 +47,10 @@ class Template:
             text = text.replace(c, f"{c[0]}{self.escape}0{c[1:]}")
         return text
 
+    def encode_role(self, role: str) -> str:
+        """Like a text; what ends the role's place in the opening is escaped too."""
+        return self.encode(role).replace("\n", f"{self.escape}n")
+
     def decode(self, text: str) -> str:
         out, at, sign = [], 0, self.escape
         while (found := text.find(sign, at)) >= 0:
@@ -55,7 +59,8 @@ class Template:
             if text.startswith(sign, found + len(sign)):
                 out.append(sign)
                 at = found + 2 * len(sign)
-            elif code == "0":
+            elif code in ("0", "n"):
+                out.append("\n" if code == "n" else "")
                 at = found + len(sign) + 1
             else:
                 raise ValueError(f"an escape sign before {code!r}")
@@ -63,22 +68,56 @@ class Template:
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """A turn's segments: (text, counts in the loss)."""
-        return [(self.opening.format(role=self.encode(role)), False), (self.encode(text), role in self.learned), (self.closing, False)]
+        return [(self.opening.format(role=self.encode_role(role)), False), (self.encode(text), role in self.learned), (self.closing, False)]
 
     def parse(self, formatted: str) -> list[tuple[str, str]]:
         """The turns (role, text) of a formatted conversation."""
-        before, after = self.opening.split("{role}")
-        out, at = [], 0
-        while at < len(formatted):
-            if not formatted.startswith(before, at):
-                raise ValueError(f"no turn opens at {at}")
-            head = formatted.index(after, at + len(before))
-            tail = formatted.index(self.closing, head + len(after))
-            out.append((self.decode(formatted[at + len(before) : head]), self.decode(formatted[head + len(after) : tail])))
-            at = tail + len(self.closing)
+        reader = Reader(self)
+        reader.feed(formatted, False)
+        out = [(role, text) for role, text, _, _ in reader.turns()]
+        reader.close()
         return out
 
 
+class Reader:
+    """Reads turns back from the formatted text of one conversation, which may come in any pieces; where turns begin and end is found in the text alone."""
+
+    def __init__(self, template: Template):
+        self.template, self.held = template, ""
+        self.before, self.after = template.opening.split("{role}")
+        #: Places in what is held that the loss mask covers.
+        self.masked: list[tuple[int, int]] = []
+
+    def feed(self, piece: str, loss: bool) -> None:
+        if loss and piece:
+            start = self.masked.pop()[0] if self.masked and self.masked[-1][1] == len(self.held) else len(self.held)
+            self.masked.append((start, len(self.held) + len(piece)))
+        self.held += piece
+
+    def turns(self) -> Iterator[tuple[str, str, list[str], int]]:
+        """(role, text, what the mask covers of the turn, characters of the turn) for each turn that is there to its end."""
+        closing = self.template.closing
+        while self.held:
+            if not self.before.startswith(self.held[: len(self.before)]):
+                raise ValueError(f"no turn opens at {self.held[:40]!r}")
+            head = self.held.find(self.after, len(self.before))
+            tail = self.held.find(closing, head + len(self.after)) if head >= 0 else -1
+            if tail < 0:
+                return
+            end = tail + len(closing)
+            role, text = self.template.decode(self.held[len(self.before) : head]), self.template.decode(self.held[head + len(self.after) : tail])
+            covered = [self.template.decode(self.held[a:b]) for a, b in self.masked if b <= end]
+            self.masked = [(a - end, b - end) for a, b in self.masked if b > end]
+            if any(a < 0 for a, _ in self.masked):
+                raise ValueError("the loss mask goes over the end of a turn")
+            self.held = self.held[end:]
+            yield role, text, covered, end
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"a turn that doesn't end: {self.held[:40]!r}")
+
+
 class Machine:
     """Follows the roles of one conversation."""
 
@@ -131,34 +170,36 @@ def segment_table(turns: DataFrame, template: Template | None = None, conv: str
 
 
 class _Digest:
-    """What is read back of one conversation's formatted text, turn by turn."""
+    """What is read back of one conversation's formatted text, as it streams by."""
 
     def __init__(self, conv, template: Template):
-        self.conv, self.template, self.machine = conv, template, Machine(template)
+        self.conv, self.reader, self.machine = conv, Reader(template), Machine(template)
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.formatted_chars = 0
 
-    def add(self, segments: list[tuple[str, bool]]) -> None:
-        formatted = "".join(s for s, _ in segments)
-        ((role, text),) = self.template.parse(formatted)
-        self.machine.step(role)
-        self.n += 1
-        self.formatted_chars += len(formatted)
-        self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        for s, loss in segments:
-            if loss:
-                plain = self.template.decode(s)
+    def add(self, piece: str, loss: bool) -> None:
+        self.reader.feed(piece, loss)
+        for role, text, covered, size in self.reader.turns():
+            self.machine.step(role)
+            self.n += 1
+            self.formatted_chars += size
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            for plain in covered:
                 self.loss_chars += len(plain)
                 self.loss.update(plain.encode("utf-8", "surrogatepass"))
 
     def row(self) -> tuple:
+        self.reader.close()
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.machine.valid, self.machine.errors
 
 
 def format_digests(turns: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, order_errors) of every conversation, read back from its formatted text.
 
-    A conversation out of order is formatted all the same, with valid false. An empty table gives an empty one.
+    The segments of a conversation are one stream; turns are found in it by the template's control strings alone, and the loss mask by its places, so a
+    text that forged a boundary would show. A conversation out of order is formatted all the same, with valid false; null roles and texts are empty ones;
+    rows of a null id are one conversation; repeated rows are turns of their own, ties go by role and text. An empty table gives an empty one. Other
+    columns are not read, whatever their names.
     """
     template = template or Template()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "order_errors"]
@@ -168,24 +209,21 @@ def format_digests(turns: DataFrame, template: Template | None = None, conv: str
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, turn_now = None, []
+        digest = None
         for batch in batches:
             done = []
-            for c, part, s, loss in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for c, s, loss in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if digest is None or c != digest.conv:
                     if digest is not None:
                         done.append(digest.row())
                     digest = _Digest(c, template)
-                turn_now.append((s, loss))
-                if part == 2:
-                    digest.add(turn_now)
-                    turn_now = []
+                digest.add(s, loss)
             if done:
                 yield pack(done)
         yield pack([digest.row()] if digest is not None else [])
 
     # the segments come as segment_table() made them: together and in order
-    segments = segment_table(turns, template, conv, turn, role, text).select("conv_id", "part", "segment", "loss")
+    segments = segment_table(turns, template, conv, turn, role, text).select("conv_id", "segment", "loss")
     return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, order_errors long")
 
 
@@ -211,7 +249,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
 e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<|im_start|>', '<\0|im_start|>'), '<|im_end|>', '<\0|im_end|>') AS escaped,
-             replace(replace(replace(role, '\', '\\'), '<|im_start|>', '<\0|im_start|>'), '<|im_end|>', '<\0|im_end|>') AS name,
+             replace(replace(replace(replace(role, '\', '\\'), '<|im_start|>', '<\0|im_start|>'), '<|im_end|>', '<\0|im_end|>'), chr(10), '\n') AS name,
              CASE WHEN (before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user') THEN 0 ELSE 1 END AS wrong FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
