@@ -210,6 +210,19 @@ def test_licenses(spark, duck, odd, empty):
     assert licenses.license_scan(empty).count() == 0 and licenses.license_scan(odd).count() == len(ROWS)
 
 
+def test_notices_are_found_with_changed_words(spark):
+    apache, mit = (next(t for t in licenses.TEMPLATES if t.label == x and len(t.words) > 40) for x in ("apache-2.0", "mit"))
+    changed = list(mit.words)
+    changed[30:32] = ["other", "words"]
+    rows = [(1, "x y " + apache.text + " end", 7), (2, " ".join(changed), 7), (3, mit.text.upper(), 7), (4, apache.text.replace("Apache", "Iroquois"), 7), (5, "z " + " ".join(mit.words[40:]), 7)]
+    rows.append((6, " ".join([*apache.words[3:]]), 7))
+    templates = tuple(t for t in licenses.TEMPLATES if t.base or len(t.words) > 40)
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, matches int"), templates=templates).collect()}
+    assert [(got[i].labels) for i in range(1, 7)] == ["apache-2.0", "mit", "mit", "", "", "apache-2.0"]
+    assert got[1].score == got[3].score == 1.0 and abs(got[2].score - (1 - 2 / len(changed))) < 1e-12 and abs(got[6].score - (1 - 3 / len(apache.words))) < 1e-12
+    assert [tuple(m) for m in got[1].matches] == [("apache-2.0", 2)] and [tuple(m) for m in got[6].matches] == [("apache-2.0", -3)]
+
+
 def test_license_index_holds_rarest_words():
     weight = licenses.idf(licenses.TEMPLATES)
     for t, rare in zip(licenses.TEMPLATES, licenses.postings(licenses.TEMPLATES), strict=True):

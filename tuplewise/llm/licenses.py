@@ -1,23 +1,25 @@
 """License scans with a positional index of rare words, in DataFrame operations alone.
 
-Templates of license lines are a fixed list. The index has a posting (word, template, place) for every word; a word's
-IDF over the templates says how rare it is. For each file and template the template's RARE highest-IDF words are looked up: where such a word stands at
-place p of the file and at place q of the template, the template may begin at p - q. Postings of a template
-are intersected by that relative position: a start counts if all the template's rare words agree on it.
-Then the words around are compared with the template's mandatory key phrases, each at its own place.
+Templates are licence notices as files carry them (license_texts.py), short licence lines, and the base phrases. The index has a posting
+(word, template, place) for every word; a word's IDF over all templates says how rare it is. For each file and template the RARE highest-IDF
+words of the template's mandatory phrases are looked up: where such a word stands at place p of the file and at place q of the template, the
+template may begin at p - q. Postings of a template are intersected by that relative position: a start counts if all the template's rare words
+agree on it. Then the mandatory key phrases are compared word by word, each at its own place; other words may differ, and the score tells how many don't.
 
 Everything about one file happens inside its row (arrays and their functions): nothing is exploded, joined or
-shuffled, so neither hot words nor long or repeated files meet anywhere. The index is a constant of a few hundred bytes.
+shuffled, so neither hot words nor long or repeated files meet anywhere. The index is a constant of a few kilobytes.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES
 from .words import let, words_of
 
 RARE = 2
@@ -37,12 +39,26 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return self.text.split()
+        return re.findall("[a-z0-9]+", self.text.lower())
+
+    @property
+    def spans(self) -> tuple[tuple[int, int], ...]:
+        return self.keys or ((0, len(self.words)),)
 
     @property
     def key_words(self) -> list[tuple[int, str]]:
-        spans = self.keys or ((0, len(self.words)),)
-        return sorted({(i, self.words[i]) for first, n in spans for i in range(first, first + n)})
+        words = self.words
+        return sorted({(i, words[i]) for first, n in self.spans for i in range(first, first + n)})
+
+
+def notice(label: str, text: str, phrases: tuple[str, ...]) -> Template:
+    """A template of a whole notice; its mandatory phrases are found in it."""
+    words = Template(label, text).words
+    spans = []
+    for phrase in phrases:
+        wanted = phrase.split()
+        spans.append((next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted), len(wanted)))
+    return Template(label, text, tuple(spans))
 
 
 #: The base phrases and their labels.
@@ -51,7 +67,7 @@ BASE = (
     Template("gpl", "general public license", base=True),
     Template("reserved", "all rights reserved", base=True),
 )
-#: Further license lines; key spans are what must stand verbatim, other words may differ.
+#: Short license lines; key spans are what must stand verbatim, other words may differ.
 MORE = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ((3, 5),)),
     Template("mit", "released under the mit license", ((2, 3),)),
@@ -68,7 +84,7 @@ MORE = (
     Template("unlicense", "this is free and unencumbered software released into the public domain", ((2, 4),)),
     Template("copyright", "copyright c all rights reserved", ((0, 2),)),
 )
-TEMPLATES = BASE + MORE
+TEMPLATES = BASE + MORE + tuple(notice(*n) for n in NOTICES)
 
 
 def idf(templates: tuple[Template, ...]) -> dict[str, float]:
@@ -101,20 +117,26 @@ def _starts(words: Column, places: Column, template: Template, rare: list[tuple[
         proposed = F.array_intersect(proposed, _of(places, *posting))
 
     def verified(s: Column) -> Column:
-        ok = F.lit(True)
-        for i, word in template.key_words:
-            ok = ok & (s + i >= 0) & (F.get(words, s + i) == word)
+        ok = s >= -min(i for i, _ in template.spans)
+        for i, n in template.spans:
+            ok = ok & (F.slice(words, F.greatest(s + i, F.lit(0)) + 1, n) == _constant(template.words[i : i + n]))
         return F.coalesce(ok, F.lit(False))
 
     return F.filter(proposed, verified)
 
 
+def _constant(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")  # folded to a constant by the optimizer
+
+
 def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: tuple[Template, ...] = TEMPLATES, rare: int = RARE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) for every row of df.
 
     n_base: places of base phrases, overlapping ones too; first_word, last_word: the least and greatest of them, else null;
     labels: of all templates found, distinct, sorted, comma-joined; score: the greatest share of a found template's
-    words that stand at their places (0: none found); matches: (label, start) of all. Null and wordless texts have none.
+    words that stand at their places (0: none found); matches: (label, start) of all. Null and wordless texts have none: n_words and n_base
+    0, empty labels, null places. Where templates tie, each counts, and equal labels are named once. Repeated rows and ids give a row each; an empty
+    table an empty one; columns besides id and text are not read, whatever their names.
     """
     index = postings(templates, rare)
     lexicon = sorted({w for p in index for w, _ in p})
@@ -149,7 +171,10 @@ def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def _labelled(words: Column, starts: Column, t: Template) -> Column:
     def found(s: Column) -> Column:
-        there = sum(F.coalesce((s + i >= 0) & (F.get(words, s + i) == word), F.lit(False)).cast("int") for i, word in enumerate(t.words))
+        # a start before the file's first word leaves the notice's first words out
+        out, wanted = F.greatest(-s, F.lit(0)), _constant(t.words)
+        pairs = F.zip_with(F.slice(words, s + out + 1, len(t.words)), F.slice(wanted, out + 1, len(t.words)), lambda a, b: F.coalesce(a == b, F.lit(False)))
+        there = F.size(F.filter(pairs, lambda same: same))
         return F.struct(F.lit(t.label).alias("label"), s.cast("int").alias("start"), F.lit(t.base).alias("base"), (there / F.lit(len(t.words))).cast("double").alias("share"))
 
     return F.transform(starts, found)
