@@ -26,10 +26,52 @@ def test_csv(spark, tmp_path):
 @pytest.mark.parametrize(("text", "parts"), [("a,b\n1,2\n3,hello\n", ("hello", "row 1", "column 1")), ("a,b\n-1,2\n", ("-1", "row 0", "column 0")), ("a,b\n1\n", ("row 0",)), ("a,b\n1,2,3\n", ("more fields",)), ("a\n9223372036854775808\n", ("9223372036854775808",)), ("a,a\n1,2\n", ("repeat",)), ("", ("header",))])
 def test_csv_errors(spark, tmp_path, text, parts):
     with pytest.raises(InvalidDataError) as e:
-        read_csv_relation(spark, put(tmp_path / "x.csv", text))
+        read_csv_relation(spark, put(tmp_path / "x.csv", text), eager=True)
     assert all(p in str(e.value) for p in parts)
 
 
+def test_csv_header_is_told_by_its_place(spark, tmp_path):
+    f = put(tmp_path / "n.csv", "# numbers as names\n1,2\n1,2\n# in between\n3,4\n1,2\n")
+    assert sorted(map(tuple, read_csv_relation(spark, f).collect())) == [(1, 2), (1, 2), (3, 4)]
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for k in range(3):
+        put(folder / f"part-{k}.csv", f"a,b\n{k},7\n")
+    assert sorted(map(tuple, read_csv_relation(spark, str(folder)).collect())) == [(0, 7), (1, 7), (2, 7)]
+    for text in ("a,b\n 1,2\n", "a,b\n1, 2\n"):
+        with pytest.raises(InvalidDataError):
+            read_csv_relation(spark, put(tmp_path / "w.csv", text), eager=True)
+
+
+def test_tbl_by_extension(spark, tmp_path):
+    db = Database(spark)
+    assert db.add_file(put(tmp_path / "R.TBL", "1,2,\n3,4,\n")).attrs == ("c0", "c1") and db.query("Q(X) :- R(_,X).").count() == 2
+    with pytest.raises(InvalidDataError):
+        db.add_file(put(tmp_path / "none.tbl", "\n"))
+
+
+def test_frames_are_checked(spark):
+    db = Database(spark)
+    db.add_df("f", spark.createDataFrame([(1, 2), (3, -4)], "a int, b int"))
+    assert db.query("Q(X) :- f(X,_).").count() == 2
+    for rule in ("Q(Y) :- f(_,Y).", "Q(X,Y) :- f(X,Y)."):
+        with pytest.raises(Exception, match="f.b: not a non-negative integer: -4"):
+            db.query(rule).collect()
+    with pytest.raises(Exception, match="not a non-negative"):
+        db.relations["f"].df.collect()
+
+
+def test_stored_relations_are_released(spark):
+    db = Database(spark, index="column-trie")
+    first = db.add_tuples("e", [(1, 2), (1, 2)])
+    assert first.df.storageLevel.useMemory and db.query("Q(X,Y) :- e(X,Y).").count() == 1
+    db.add_keys("e", (5, 6))
+    assert not first.df.storageLevel.useMemory and db.query("Q(X,Y) :- e(X,Y).").count() == 2
+    held = db.relations["e"]
+    db.drop("e")
+    assert not held.df.storageLevel.useMemory and "e" not in db.relations
+
+
 def test_csv_errors_of_lazy_reads(spark, tmp_path):
     with pytest.raises(Exception, match="not a non-negative integer"):
         read_csv_relation(spark, put(tmp_path / "x.csv", "a\nx\n"), eager=False).collect()

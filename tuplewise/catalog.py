@@ -13,7 +13,7 @@ from .errors import ArityMismatchError, InvalidDataError, UnsupportedFormatError
 from .parser import parse_rule
 from .plans.planner import DEFAULT, plan_rule
 from .rules import Rule
-from .sources.files import read_csv_relation, read_parquet_relation
+from .sources.files import checked, integral, read_csv_relation, read_tbl
 
 MAX_KEY = (1 << 63) - 1
 
@@ -29,6 +29,8 @@ class Relation:
     name: str
     attrs: tuple[str, ...]
     df: DataFrame
+    #: The same before its checks, where there are any: rules filter and prune this, and check what they read.
+    raw: DataFrame | None = None
 
     @property
     def arity(self) -> int:
@@ -50,11 +52,9 @@ class Relation:
 
     @classmethod
     def from_df(cls, name: str, df: DataFrame) -> Relation:
-        """Integral columns, cast to BIGINT; others are rejected."""
-        for f in df.schema:
-            if not isinstance(f.dataType, T.IntegralType):
-                raise InvalidDataError(f"{name}.{f.name}: {f.dataType.simpleString()} isn't integral")
-        return cls(name, tuple(df.columns), df.select([df[f"`{c}`"].cast("bigint").alias(c) for c in df.columns]))
+        """Integral columns, cast to BIGINT; others are rejected. Nulls and negative values fail the query that reads them."""
+        raw = integral(df, name)
+        return cls(name, tuple(df.columns), checked(raw), raw)
 
     def project(self, columns: Sequence[int], name: str = "") -> Relation:
         """Columns by place, in any order, repeats allowed; a set again."""
@@ -77,13 +77,17 @@ class Relation:
         return Relation(self.name, self.attrs, self.df.union(more.df).distinct())
 
     def stored(self, mode: str) -> Relation:
-        """Storage by the names of the two index kinds: `column_trie`: cached, sorted within partitions; `tree_trie`: as it is."""
+        """Storage by the names of the two index kinds: `column_trie`: cached, sorted within partitions, until released; `tree_trie`: as it is."""
         if mode.replace("-", "_") == "tree_trie":
             return self
         if mode.replace("-", "_") != "column_trie":
             raise UnsupportedFormatError(f"unknown index structure {mode!r}")
         return Relation(self.name, self.attrs, self.df.distinct().sortWithinPartitions(*self.attrs).persist())
 
+    def release(self) -> None:
+        """Free what `column_trie` holds; reading the relation afterwards computes it anew."""
+        self.df.unpersist()
+
 
 class Database:
     """Named relations, and rules over them."""
@@ -93,6 +97,8 @@ class Database:
         self.relations: dict[str, Relation] = {}
 
     def add(self, relation: Relation) -> Relation:
+        if relation.name in self.relations and self.index.replace("-", "_") == "column_trie":
+            self.relations[relation.name].release()
         self.relations[relation.name] = relation.stored(self.index)
         return self.relations[relation.name]
 
@@ -113,21 +119,26 @@ class Database:
         return self.add(self.relations[name].insert(rows))
 
     def add_file(self, path: str) -> Relation:
-        """A `.csv` or `.parquet` file, named by its stem."""
+        """A `.csv`, `.parquet` or `.tbl` file, named by its stem."""
         p = PurePosixPath(str(path))
         kind = p.suffix.lower()
-        if kind == ".csv":
-            df = read_csv_relation(self.spark, str(path))
-        elif kind == ".parquet":
-            df = read_parquet_relation(self.spark, str(path))
-        else:
+        if kind == ".parquet":
+            return self.add(Relation.from_df(p.stem, self.spark.read.parquet(str(path))))
+        if kind not in (".csv", ".tbl"):
             raise UnsupportedFormatError(f"Unsupported file extension: {p.suffix or p.name!r}")
+        df = (read_csv_relation if kind == ".csv" else read_tbl)(self.spark, str(path))
         return self.add(Relation(p.stem, tuple(df.columns), df))
 
+    def drop(self, name: str) -> None:
+        """Forget a relation, and what its storage mode holds of it."""
+        self.relations.pop(name).release()
+
     def query(self, rule: Rule | str, strategy: str | None = None, output: str = "head", ordered: bool = False) -> DataFrame:
         """The rule's result as a lazy DataFrame: distinct head tuples, or with output="bindings" all variables."""
         rule = parse_rule(rule) if isinstance(rule, str) else rule
-        return plan_rule(self.spark, {n: r.df for n, r in self.relations.items()}, rule, strategy or self.strategy, output, ordered)
+        frames = {n: r.df if r.raw is None else r.raw for n, r in self.relations.items()}
+        unchecked = {n for n, r in self.relations.items() if r.raw is not None}
+        return plan_rule(self.spark, frames, rule, strategy or self.strategy, output, ordered, unchecked)
 
 
 def compute_join(spark: SparkSession, inputs: Sequence[Sequence[Sequence[int]]], variables: Sequence[int], rel_variables: Sequence[Sequence[int]], strategy: str = DEFAULT) -> DataFrame:

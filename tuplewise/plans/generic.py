@@ -3,6 +3,7 @@
 Prefixes (bindings of the variables so far) are extended by the next variable: each atom that holds it tells how many values
 it has for the prefix, the one with fewest proposes its values, the others only check them by semi-joins. So no step makes more
 rows than the least of the atoms allows, whatever the skew; a prefix that any atom doesn't know dies at once.
+The atoms' sets are written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
 
 def variable_order(atoms: list[frozenset[str]], needed: frozenset[str]) -> list[str]:
     """Connected order: first the variable of most atoms, then always one that shares most atoms with those before; needed ones first on ties."""
@@ -31,6 +34,8 @@ def variable_order(atoms: list[frozenset[str]], needed: frozenset[str]) -> list[
 def extend_all(pieces: list[tuple[frozenset[str], DataFrame]], needed: frozenset[str]) -> DataFrame:
     """All bindings of a connected body, by prefix extension."""
     order = variable_order([vs for vs, _ in pieces], needed)
+    # each atom is read and made a set once, and every later step reads that
+    pieces = [(vs, durable(df.distinct(), "atom")) for vs, df in pieces]
     prefix: DataFrame | None = None
     done: list[str] = []
     for v in order:
@@ -39,7 +44,7 @@ def extend_all(pieces: list[tuple[frozenset[str], DataFrame]], needed: frozenset
         for vs, df in pieces:
             if v in vs:
                 on = [d for d in done if d in vs]
-                views.append((on, df.select(*on, v).distinct()))
+                views.append((on, df if len(on) + 1 == len(vs) else df.select(*on, v).distinct()))
         prefix = _extend(prefix, v, views)
         done.append(v)
     assert prefix is not None

@@ -4,10 +4,11 @@ Every atom becomes a projection of the needed columns, renamed to internal varia
 (which Catalyst pushes into the scan). Then, for each connected part of the body:
 
 * ears without head variables of their own become left semi-joins of their witness, before anything expands;
-* `binary` (and `auto`) joins the rest greedily along shared variables, filtered and small atoms first, with atoms that
-  add no variable as semi-joins at the end;
+* `binary` joins the rest: an acyclic body greedily along shared variables, filtered and small atoms first, with atoms that
+  add no variable as semi-joins at the end; a cyclic one by measured sizes (see measured.py; one counting job runs while the plan is made);
 * `yannakakis` first reduces an acyclic body by semi-joins up and down its join tree;
-* `generic` extends one variable at a time (see generic.py), which bounds intermediates of cyclic bodies.
+* `generic` extends one variable at a time (see generic.py), which bounds intermediates of cyclic bodies;
+* `auto` is `binary`, but for cyclic bodies whose pairs would make far more rows than the body can yield: these are `generic`.
 
 Parts without head variables only guard the result. The head is projected, and made a set, last. Physical join choice, skew
 splitting and reuse of exchanges are left to Catalyst and adaptive execution.
@@ -15,7 +16,7 @@ splitting and reuse of exchanges are left to Catalyst and adaptive execution.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..rules import Rule
+from ..sources.files import checked_key
 from .analyze import BoundAtom, BoundRule, analyze, components, join_tree
 from .generic import extend_all
+from .measured import join_measured, measure, wants_generic
 
 DEFAULT = "auto"
 
@@ -46,14 +49,15 @@ class Piece:
         return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def atom_frame(df: DataFrame, atom: BoundAtom) -> DataFrame:
-    """Columns of a relation by place as variables; constants and repeated variables as filters."""
+def atom_frame(df: DataFrame, atom: BoundAtom, check: bool = False) -> DataFrame:
+    """Columns of a relation by place as variables; constants and repeated variables as filters, which reach the scan. With `check`, the columns that are read fail at nulls and negative values."""
+    names = df.columns
     df = df.toDF(*[f"a{i}" for i in range(len(df.columns))])
     for i, value in atom.where:
         df = df.where(F.col(f"a{i}") == F.lit(value).cast("bigint") if value < 1 << 63 else F.lit(False))
     for i, j in atom.same:
         df = df.where(F.col(f"a{i}") == F.col(f"a{j}"))
-    return df.select([F.col(f"a{i}").alias(v) for i, v in atom.columns])
+    return df.select([(checked_key(F.col(f"a{i}"), f"{atom.relation}.{names[i]}") if check else F.col(f"a{i}")).alias(v) for i, v in atom.columns])
 
 
 def drop_private(pieces: list[Piece], needed: frozenset[str]) -> list[Piece]:
@@ -66,13 +70,12 @@ def drop_private(pieces: list[Piece], needed: frozenset[str]) -> list[Piece]:
 
 
 def make_sets(pieces: list[Piece]) -> list[Piece]:
-    """Repeats removed where they would multiply: all over a cyclic body, else in atoms that lost columns or share a relation.
+    """Repeats removed where they would multiply: in atoms that lost columns or share a relation.
 
     Joins on keys, the common acyclic case, go without: there the final set costs less than one more shuffle an atom.
     """
-    cyclic = join_tree([p.vars for p in pieces]) is None
     for p in pieces:
-        if len(pieces) > 1 and (cyclic or p.loose or p.shared):
+        if len(pieces) > 1 and (p.loose or p.shared):
             p.df = p.df.distinct()
     return pieces
 
@@ -153,8 +156,23 @@ def reduce_fully(pieces: list[Piece]) -> list[Piece]:
     return pieces
 
 
+def _cyclic(pieces: list[Piece]) -> bool:
+    return join_tree([p.vars for p in pieces]) is None
+
+
 def _binary(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
-    return join_greedily(make_sets(absorb_ears(drop_private(pieces, needed), needed)), needed)
+    pieces = absorb_ears(drop_private(pieces, needed), needed)
+    if _cyclic(pieces):
+        return join_measured(measure([(p.vars, p.df) for p in pieces]), needed)
+    return join_greedily(make_sets(pieces), needed)
+
+
+def _auto(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
+    pieces = absorb_ears(drop_private(pieces, needed), needed)
+    if not _cyclic(pieces):
+        return join_greedily(make_sets(pieces), needed)
+    nodes = measure([(p.vars, p.df) for p in pieces])
+    return extend_all([(n.vars, n.df) for n in nodes], needed) if wants_generic(nodes, needed) else join_measured(nodes, needed)
 
 
 def _yannakakis(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
@@ -163,19 +181,19 @@ def _yannakakis(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
 
 def _generic(pieces: list[Piece], needed: frozenset[str]) -> DataFrame:
     pieces = absorb_ears(drop_private(pieces, needed), needed)
-    if join_tree([p.vars for p in pieces]) is not None:
+    if not _cyclic(pieces):
         return join_greedily(make_sets(pieces), needed)
     return extend_all([(p.vars, p.df) for p in pieces], needed)
 
 
 #: How a connected body becomes a frame; more may be registered.
-STRATEGIES: dict[str, Callable[[list[Piece], frozenset[str]], DataFrame]] = {"auto": _binary, "binary": _binary, "yannakakis": _yannakakis, "generic": _generic}
+STRATEGIES: dict[str, Callable[[list[Piece], frozenset[str]], DataFrame]] = {"auto": _auto, "binary": _binary, "yannakakis": _yannakakis, "generic": _generic}
 #: Names under which other engines know their one algorithm.
 ALIASES = {"leapfrog_triejoin": "generic", "leapfrog-triejoin": "generic"}
 
 
-def plan_rule(spark: SparkSession, relations: Mapping[str, DataFrame], rule: Rule, strategy: str = DEFAULT, output: str = "head", ordered: bool = False) -> DataFrame:
-    """The rule's result; nothing runs before an action."""
+def plan_rule(spark: SparkSession, relations: Mapping[str, DataFrame], rule: Rule, strategy: str = DEFAULT, output: str = "head", ordered: bool = False, unchecked: Collection[str] = ()) -> DataFrame:
+    """The rule's result. Nothing runs before an action, but for cyclic bodies, whose atoms are counted."""
     strategy = ALIASES.get(strategy, strategy)
     if strategy not in STRATEGIES:
         raise EngineError(f"unknown strategy {strategy!r}")
@@ -187,10 +205,10 @@ def plan_rule(spark: SparkSession, relations: Mapping[str, DataFrame], rule: Rul
     for places in components([a.vars for a in bound.atoms]):
         atoms = [bound.atoms[i] for i in places]
         if not atoms[0].vars:
-            guards.append(atom_frame(relations[atoms[0].relation], atoms[0]))
+            guards.append(atom_frame(relations[atoms[0].relation], atoms[0], atoms[0].relation in unchecked))
             continue
         names = [a.relation for a in atoms]
-        pieces = [Piece(a.vars, atom_frame(relations[a.relation], a), bool(a.where), a.dropped, names.count(a.relation) > 1) for a in atoms]
+        pieces = [Piece(a.vars, atom_frame(relations[a.relation], a, a.relation in unchecked), bool(a.where), a.dropped, names.count(a.relation) > 1) for a in atoms]
         wanted = needed & frozenset().union(*(a.vars for a in atoms))
         if wanted:
             frames.append(STRATEGIES[strategy](pieces, wanted).select(*sorted(wanted)))

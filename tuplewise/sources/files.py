@@ -1,7 +1,7 @@
 """Relations in CSV, Parquet and .tbl files, and result sinks.
 
 Checks of values are part of the plan (`raise_error` in a projection), so they run with the query and cost no scan of their own;
-read_csv_relation(..., eager=True) looks first and names the row and column.
+with eager=True readers look first, and that of CSV names the row and column.
 """
 
 from __future__ import annotations
@@ -23,39 +23,51 @@ def _checked(value: Column, ok: Column, message: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(message).cast("bigint"))
 
 
+def checked_key(value: Column, name: str) -> Column:
+    """A column of keys that fails the query at a null or negative value."""
+    return _checked(value, value.isNotNull() & (value >= 0), F.concat(F.lit(f"{name}: not a non-negative integer: "), F.coalesce(value.cast("string"), F.lit("missing"))))
+
+
+def integral(df: DataFrame, what: str) -> DataFrame:
+    """df with all columns as BIGINT; columns that aren't integral are errors."""
+    for f in df.schema:
+        if not isinstance(f.dataType, T.IntegralType):
+            raise InvalidDataError(f"{what}: {f.name} is {f.dataType.simpleString()}, not integral")
+    return df.select([F.col(f"`{c}`").cast("bigint").alias(c) for c in df.columns])
+
+
+def checked(df: DataFrame) -> DataFrame:
+    return df.select([checked_key(F.col(f"`{c}`"), c).alias(c) for c in df.columns])
+
+
+#: Of a file's lines, those that aren't blank and no comment. The first is the header, whatever stands in it.
+_CONTENT = "trim(value) <> '' and not startswith(value, '#')"
+
+
 def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").first()
+    first = spark.read.text(path).where(_CONTENT).first()
     if first is None:
         raise InvalidDataError(f"{path}: no header row")
     return next(csv.reader([first[0]], escapechar="\\", doublequote=False))
 
 
-def read_csv_relation(spark: SparkSession, path: str, eager: bool = True) -> DataFrame:
-    """A CSV file with a header; `#` lines are comments; every field is a non-negative integer; ragged rows are errors."""
+def read_csv_relation(spark: SparkSession, path: str, eager: bool = False) -> DataFrame:
+    """A CSV file (or folder of such) with a header; `#` lines are comments; every field is a non-negative integer; ragged rows are errors.
+
+    Checked with the query, or at once, naming row and column, if eager.
+    """
     names = _csv_header(spark, path)
     if len(set(names)) != len(names):
         raise InvalidDataError(f"{path}: column names repeat")
-    # one column more than the header has, to notice rows that are too long
+    lines = spark.read.option("header", True).option("comment", "#")
+    # one column more than the header has, to notice rows that are too long; Spark leaves out the first content line of each file
     schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names) + 1)])
-    raw = spark.read.csv(path, schema=schema, header=False, sep=",", escape="\\", comment="#", enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    # the header is the one row that holds the names
-    is_header = F.lit(True)
-    for i, n in enumerate(names):
-        is_header = is_header & (F.col(f"f{i}").eqNullSafe(F.lit(n.strip())))
-    fields = raw.where(~is_header)
+    fields = lines.schema(schema).csv(path, sep=",", escape="\\", enforceSchema=True, mode="PERMISSIVE")
+    whole = F.lit(True)
+    for i in range(len(names)):
+        whole = whole & F.coalesce(F.col(f"f{i}").rlike(_DIGITS) & F.col(f"f{i}").try_cast("bigint").isNotNull(), F.lit(False))
     if eager:
-        bad = F.lit(False)
-        for i in range(len(names)):
-            bad = bad | ~F.coalesce(F.col(f"f{i}").rlike(_DIGITS) & F.col(f"f{i}").try_cast("bigint").isNotNull(), F.lit(False))
-        bad = bad | F.col(f"f{len(names)}").isNotNull()
-        found = raw.select("*", F.monotonically_increasing_id().alias("row")).where(~is_header & bad).orderBy("row").first()
-        if found is not None:
-            for i, n in enumerate(names):
-                v = found[f"f{i}"]
-                if v is None or not v.lstrip("+").isdigit() or int(v) > (1 << 63) - 1:
-                    at = raw.select("*", F.monotonically_increasing_id().alias("row")).where(~is_header & (F.col("row") < found["row"])).count()
-                    raise InvalidDataError(f"{path}: {v!r} isn't a non-negative integer: row {at}, column {i} ({n})")
-            raise InvalidDataError(f"{path}: a row has more fields than the header")
+        _first_bad(fields, names, whole, path)
     cells = []
     for i, n in enumerate(names):
         c = F.col(f"f{i}")
@@ -64,16 +76,23 @@ def read_csv_relation(spark: SparkSession, path: str, eager: bool = True) -> Dat
     return fields.select(cells)
 
 
+def _first_bad(fields: DataFrame, names: list[str], whole: Column, path: str) -> None:
+    rows = fields.select("*", F.monotonically_increasing_id().alias("row"))
+    found = rows.where(~whole | F.col(f"f{len(names)}").isNotNull()).orderBy("row").first()
+    if found is None:
+        return
+    for i, n in enumerate(names):
+        v = found[f"f{i}"]
+        if v is None or not v.removeprefix("+").isdigit() or int(v) > (1 << 63) - 1:
+            at = rows.where(F.col("row") < found["row"]).count()
+            raise InvalidDataError(f"{path}: {v!r} isn't a non-negative integer: row {at}, column {i} ({n})")
+    raise InvalidDataError(f"{path}: a row has more fields than the header")
+
+
 def read_parquet_relation(spark: SparkSession, path: str, eager: bool = False) -> DataFrame:
     """A Parquet file of integral columns without nulls or negative values; BIGINT. Checked with the query, or at once if eager."""
-    df = spark.read.parquet(path)
-    for f in df.schema:
-        if not isinstance(f.dataType, T.IntegralType):
-            raise InvalidDataError(f"{path}: {f.name} is {f.dataType.simpleString()}, not integral")
-    if eager:
-        return validate(df.select([F.col(f"`{c}`").cast("bigint").alias(c) for c in df.columns]), path)
-    cells = [(c, F.col(f"`{c}`").cast("bigint")) for c in df.columns]
-    return df.select([_checked(v, v.isNotNull() & (v >= 0), F.concat(F.lit(f"{c}: not a non-negative integer: "), F.coalesce(v.cast("string"), F.lit("missing")))).alias(c) for c, v in cells])
+    df = integral(spark.read.parquet(path), path)
+    return validate(df, path) if eager else checked(df)
 
 
 def validate(df: DataFrame, what: str) -> DataFrame:
@@ -87,8 +106,13 @@ def validate(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def read_tbl(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A .tbl file: no header, a comma after the last field, every row exactly as wide as `columns`."""
+def read_tbl(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A .tbl file: no header, a comma after the last field, every row exactly as wide as `columns` (by default c0, c1, ... of the first row's width)."""
+    if columns is None:
+        first = spark.read.text(path).where("trim(value) <> ''").first()
+        if first is None:
+            raise InvalidDataError(f"{path}: no row to tell the width")
+        columns = [f"c{i}" for i in range(first[0].count(","))]
     parts = F.split("value", ",")
     rows = spark.read.text(path).where("trim(value) <> ''").select(parts.alias("p"))
     wide = (F.size("p") == len(columns) + 1) & (F.trim(F.element_at("p", -1)) == "")
