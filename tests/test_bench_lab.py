@@ -1,13 +1,14 @@
 import json
 import math
 import random
+import time
 
 import pytest
 
 from tuplewise import lab
 from tuplewise.bench import definition as D
 from tuplewise.bench.generate import OXFORD, generate, oxford, watdiv_queries, write_oxford
-from tuplewise.bench.run import format_bytes, run_benchmark, run_join, run_storage, write_report
+from tuplewise.bench.run import format_bytes, measure, run_benchmark, run_join, run_storage, write_report
 from tuplewise.cli import main
 from tuplewise.errors import BenchmarkInvalid, BenchmarkNotFound, ReportError, SpecDrift
 from tuplewise.parser import parse_rule
@@ -98,6 +99,12 @@ def test_runs_reports_and_frames(spark, tmp_path):
     assert {r["triangle"] is not None for r in lab.pivot(s, "algorithm", "query", "mean_ns").collect()} == {True}
     assert main(["lab", "bar-time", path, "--artefacts", art, "-o", str(tmp_path / "x.csv")]) == 0 and "triangle" in (tmp_path / "x.csv").read_text()
     assert main(["lab", "all", path, "--artefacts", art, "-o", str(tmp_path / "all")]) == 0
+    frames = {p.stem for p in (tmp_path / "all").glob("*.csv")}
+    assert frames == {"bar-space", "bar-time-triangle", "bar-queries-tree_trie-auto", "bar-queries-tree_trie-generic", "dist", "tradeoff"}
+    assert lab.shape_bar_time(s, phase="insertion").count() == 2 and lab.shape_dist(lab.load_samples(spark, path, art), "iteration").count() == 4
+    for shape in ("compare", "bootstrap", "mann-whitney"):
+        assert main(["lab", shape, path, "--artefacts", art, "--group-by", "algorithm", "--baseline", "auto", "--target", "generic", "--alternative", "less", "--phase", "iteration", "--resamples", "50", "-o", str(tmp_path / f"{shape}.csv")]) == 0
+        assert len((tmp_path / f"{shape}.csv").read_text().splitlines()) == 2
     (tmp_path / "new.json").write_text(json.dumps([{**reports[0], "schema_version": 9}]))
     with pytest.raises(ReportError):
         lab.load_reports(spark, str(tmp_path / "new.json"))
@@ -106,6 +113,9 @@ def test_runs_reports_and_frames(spark, tmp_path):
     (tmp_path / "e.csv").write_text("a,b\n1,2\n2,3\n")
     assert run_join(spark, [str(tmp_path / "e.csv")], "Q(X) :- e(X,_).", art, samples=1)[0]["axes"]["tuples"] == 2
     assert run_storage(spark, str(tmp_path / "e.csv"), art, samples=1)[0]["axes"]["arity"] == 2
+    only = run_storage(spark, str(tmp_path / "e.csv"), art, samples=1, warmup=0, name="mine", metrics=("iteration",))[0]
+    assert [(g["group"], g["function"]) for g in only["criterion_groups"]] == [("mine", "tree_trie/iteration")]
+    assert len(measure(lambda: None, 2, 0)) == 2 and len(measure(lambda: time.sleep(0.02), 1, 0, 0.1)) > 1
 
 
 def test_statistics(spark):
@@ -117,7 +127,12 @@ def test_statistics(spark):
     ties = sum(n**3 - n for n in (([*a, *b]).count(v) for v in {*a, *b}))
     sd = math.sqrt(30 * 25 / 12 * (56 - ties / (55 * 54)))
     z = -(abs(u - 375) - 0.5) / sd if u < 375 else (abs(u - 375) - 0.5) / sd
-    assert (r.n1, r.n2, r.u1) == (30, 25, u) and abs(r.z - z) < 1e-9 and abs(r.p_two_sided - math.erfc(abs(z) / math.sqrt(2))) < 1e-6
+    assert (r.n1, r.n2, r.u1) == (30, 25, u) and abs(r.z - z) < 1e-9 and abs(r.p - math.erfc(abs(z) / math.sqrt(2))) < 1e-6
+    phi = lambda x: math.erfc(-x / math.sqrt(2)) / 2
+    for alternative, p in (("less", phi((u - 375 + 0.5) / sd)), ("greater", 1 - phi((u - 375 - 0.5) / sd))):
+        assert abs(lab.mann_whitney(df, "g", "v", "a", "b", alternative).first().p - p) < 1e-6
+    with pytest.raises(ReportError):
+        lab.mann_whitney(df, "g", "v", "a", "b", "more")
     ratio, low, high = lab.bootstrap_ratio_ci([2, 2.1, 1.9], [1, 1.1, 0.9], 500, seed=1)
     assert low <= ratio <= high and abs(ratio - 2) < 0.01 and lab.bootstrap_ratio_ci([1, 2], [3, 4], 99, seed=5) == lab.bootstrap_ratio_ci([1, 2], [3, 4], 99, seed=5)
 

@@ -19,7 +19,7 @@ ONTOLOGY = "http://www.lehigh.edu/~zhp2/2004/0401/univ-bench.owl"
 #: Generator parameters and their defaults.
 GENERATORS = {
     "lubm": {"scale": None, "seed": 0, "threads": 1, "start_index": 0, "ontology": ONTOLOGY, "queries": None},
-    "watdiv": {"scale": None, "stress": {"max_query_size": 5, "query_count": 20, "constants_per_query": 2, "allow_join_vertex": False}},
+    "watdiv": {"scale": None, "seed": 0, "stress": {"max_query_size": 5, "query_count": 20, "constants_per_query": 2, "allow_join_vertex": False}},
 }
 
 

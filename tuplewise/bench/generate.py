@@ -12,7 +12,9 @@ from ..rdf.pipeline import build, build_store
 from .definition import Definition
 
 #: Columns of the eight-relation suite, and its queries.
-OXFORD = {"P": "A", "Q": "A", "R": "ABX", "S": "ACY", "T": "BCZ", "U": "XD", "V": "YE", "W": "ZF"}
+OXFORD = {
+    "P": ("A",), "Q": ("A",), "R": ("A", "B", "X"), "S": ("A", "C", "Y"), "T": ("B", "C", "Z"), "U": ("X", "D"), "V": ("Y", "E"), "W": ("Z", "F"),
+}
 OXFORD_QUERIES = {
     "binary-join": "Result(A) :- P(A), Q(A).",
     "triangle": "Result(A, B, C) :- R(A, B, X), S(A, C, Y), T(B, C, Z).",
@@ -95,6 +97,6 @@ def generate(spark: SparkSession, definition: Definition, folder: Path) -> dict:
         queries = {q: lubm.sparql(q) for q in names}
     else:
         stress = spec["stress"]
-        store = build_store(watdiv(spark, spec["scale"]))
-        queries = watdiv_queries(stress["query_count"], stress["max_query_size"], stress["constants_per_query"])
+        store = build_store(watdiv(spark, spec["scale"], spec["seed"]))
+        queries = watdiv_queries(stress["query_count"], stress["max_query_size"], stress["constants_per_query"], spec["seed"])
     return build(store, queries, str(folder), definition.name, definition.description, meta={"generator": spec})

@@ -33,11 +33,12 @@ def consume(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def measure(action: Callable[[], None], samples: int, warmup: int) -> list[int]:
+def measure(action: Callable[[], None], samples: int, warmup: int, seconds: float = 0.0) -> list[int]:
+    """Nanoseconds of each run: `samples` of them, and more until `seconds` have gone by."""
     for _ in range(warmup):
         action()
-    out = []
-    for _ in range(samples):
+    out: list[int] = []
+    while len(out) < samples or sum(out) < seconds * 1e9:
         began = time.perf_counter_ns()
         action()
         out.append(time.perf_counter_ns() - began)
@@ -74,7 +75,7 @@ def write_report(reports: list[dict], path: str | None = None) -> str:
     return str(target)
 
 
-def run_benchmark(spark: SparkSession, definition: Definition, cache: str, artefacts: str, strategies: tuple[str, ...] = ("auto",), indexes: tuple[str, ...] = ("tree_trie",), metrics: tuple[str, ...] = ("insertion", "iteration", "space"), query: str | None = None, samples: int = 3, warmup: int = 1) -> list[dict]:
+def run_benchmark(spark: SparkSession, definition: Definition, cache: str, artefacts: str, strategies: tuple[str, ...] = ("auto",), indexes: tuple[str, ...] = ("tree_trie",), metrics: tuple[str, ...] = ("insertion", "iteration", "space"), query: str | None = None, samples: int = 3, warmup: int = 1, seconds: float = 0.0, name: str | None = None) -> list[dict]:
     """One report for each query, storage mode and strategy: building all relations, running the query, bytes stored."""
     paths, reports, root = ensure_cached(definition, cache), [], Path(artefacts)
     for index in indexes:
@@ -85,13 +86,13 @@ def run_benchmark(spark: SparkSession, definition: Definition, cache: str, artef
                 db = Database(spark, strategy=strategy, index=index)
                 load = lambda db=db: [db.add_file(p) if p.endswith((".csv", ".parquet")) else db.add_df(n, spark.read.parquet(p)) for n, p in paths.items()]
                 load()
-                group, groups = f"run/{definition.name}/{q['name']}", []
+                group, groups = f"{name or 'run'}/{definition.name}/{q['name']}", []
                 prefix = f"{index}/{strategy}"
                 if "insertion" in metrics:
-                    write_artefact(root, group, f"{prefix}/insertion", measure(lambda db=db, load=load: (load(), [consume(r.df.distinct()) for r in db.relations.values()]), samples, warmup))
+                    write_artefact(root, group, f"{prefix}/insertion", measure(lambda db=db, load=load: (load(), [consume(r.df.distinct()) for r in db.relations.values()]), samples, warmup, seconds))
                     groups.append((group, f"{prefix}/insertion", "time"))
                 if "iteration" in metrics:
-                    write_artefact(root, group, f"{prefix}/iteration", measure(lambda db=db, q=q: consume(db.query(q["query"])), samples, warmup))
+                    write_artefact(root, group, f"{prefix}/iteration", measure(lambda db=db, q=q: consume(db.query(q["query"])), samples, warmup, seconds))
                     groups.append((group, f"{prefix}/iteration", "time"))
                 size = sum(storage_bytes(r.df) for r in db.relations.values())
                 if "space" in metrics:
@@ -103,23 +104,28 @@ def run_benchmark(spark: SparkSession, definition: Definition, cache: str, artef
     return reports
 
 
-def run_join(spark: SparkSession, files: list[str], rule: str, artefacts: str, strategy: str = "auto", index: str = "tree_trie", samples: int = 3, warmup: int = 1) -> list[dict]:
+def run_join(spark: SparkSession, files: list[str], rule: str, artefacts: str, strategy: str = "auto", index: str = "tree_trie", samples: int = 3, warmup: int = 1, seconds: float = 0.0, name: str | None = None) -> list[dict]:
     """Time one rule over relation files."""
     db = Database(spark, strategy=strategy, index=index)
     for f in files:
         db.add_file(f)
-    write_artefact(Path(artefacts), "join", f"{index}/{strategy}", measure(lambda: consume(db.query(rule)), samples, warmup))
+    write_artefact(Path(artefacts), name or "join", f"{index}/{strategy}", measure(lambda: consume(db.query(rule)), samples, warmup, seconds))
     axes = {"query": rule, "data_structure": index, "algorithm": strategy, "relations": len(files), "tuples": db.query(rule).count()}
-    return [report("join", {"query": rule}, axes, [("join", f"{index}/{strategy}", "time")])]
+    return [report("join", {"query": rule}, axes, [(name or "join", f"{index}/{strategy}", "time")])]
 
 
-def run_storage(spark: SparkSession, path: str, artefacts: str, index: str = "tree_trie", samples: int = 3, warmup: int = 1) -> list[dict]:
-    """Time building and enumerating one relation, and its size."""
+def run_storage(spark: SparkSession, path: str, artefacts: str, index: str = "tree_trie", samples: int = 3, warmup: int = 1, seconds: float = 0.0, name: str | None = None, metrics: tuple[str, ...] = ("insertion", "iteration", "space")) -> list[dict]:
+    """Time building and enumerating one relation, and its size; `metrics` says which."""
     db = Database(spark, index=index)
     relation = db.add_file(path)
-    root = Path(artefacts)
-    write_artefact(root, "ds", f"{index}/insertion", measure(lambda: consume(db.add_file(path).df.distinct()), samples, warmup))
-    write_artefact(root, "ds", f"{index}/iteration", measure(lambda: consume(relation.df.distinct().orderBy(*relation.attrs)), samples, warmup))
-    write_artefact(root, "ds", f"{index}/space", [storage_bytes(relation.df)])
+    root, group, groups = Path(artefacts), name or "ds", []
+    measured: dict[str, Callable[[], list[int]]] = {
+        "insertion": lambda: measure(lambda: consume(db.add_file(path).df.distinct()), samples, warmup, seconds),
+        "iteration": lambda: measure(lambda: consume(relation.df.distinct().orderBy(*relation.attrs)), samples, warmup, seconds),
+        "space": lambda: [storage_bytes(relation.df)],
+    }
+    for metric in metrics:
+        write_artefact(root, group, f"{index}/{metric}", measured[metric]())
+        groups.append((group, f"{index}/{metric}", "space" if metric == "space" else "time"))
     axes = {"relation_path": path, "data_structure": index, "tuples": relation.df.distinct().count(), "arity": relation.arity}
-    return [report("ds", {"relation": path}, axes, [("ds", f"{index}/insertion", "time"), ("ds", f"{index}/iteration", "time"), ("ds", f"{index}/space", "space")])]
+    return [report("ds", {"relation": path}, axes, groups)]

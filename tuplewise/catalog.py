@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import ArityMismatchError, InvalidDataError, UnsupportedFormatError
@@ -71,6 +72,14 @@ class Relation:
         picked = df.select([df[f"v{i}"].alias(a) for i, a in zip(columns, attrs, strict=True)])
         return Relation(name, tuple(attrs), picked.distinct())
 
+    def seek(self, prefix: Sequence[int], place: int, bound: int) -> DataFrame:
+        """For each tuple of the columns `prefix`, the least key of column `place` at or above `bound`: what a sorted index answers to a seek.
+
+        Prefixes without such a key are not there: that is the end of their keys.
+        """
+        df = self.df.toDF(*[f"v{i}" for i in range(self.arity)])
+        return df.where(F.col(f"v{place}") >= bound).groupBy(*[f"v{i}" for i in prefix]).agg(F.min(f"v{place}").alias("least")).toDF(*[self.attrs[i] for i in prefix], self.attrs[place])
+
     def insert(self, rows: Iterable[Sequence[int]]) -> Relation:
         """A new relation with more tuples; those already there change nothing."""
         more = Relation.from_tuples(self.df.sparkSession, self.name, rows, self.attrs)

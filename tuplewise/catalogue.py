@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lab
+from . import catalogue_files, catalogue_tools, lab
 from .catalog import Database, compute_join
+from .catalogue_sql import GEO, geo_triples, triples_of
 from .rdf import entail as ent
 from .rdf.dictionary import build_dictionary
 from .rdf.pipeline import build_store
@@ -134,22 +133,14 @@ def insert_api(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def least_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least supplier key of 6 or more in each part's set: what a seek in a sorted index answers."""
-    ps = database(spark, sf_dir, ["ps"]).relations["ps"].df.toDF("P", "S")
-    return ps.where(F.col("S") >= 6).groupBy("P").agg(F.min("S").alias("S"))
+    return database(spark, sf_dir, ["ps"]).relations["ps"].seek([0], 1, 6).toDF("P", "S")
 
 
-
-#: Triples of the tables as SQL (subject, predicate, object), for Spark and DuckDB alike.
 def _ub(name: str) -> str:
     return ent.ub(name)
 
 
 _TYPE = ent.RDF_TYPE
-_GEO = """
-SELECT '<http://example.org/nation' || CAST(n_nationkey AS STRING) || '>' AS s, '<http://example.org/inRegion>' AS p, '<http://example.org/region' || CAST(n_regionkey AS STRING) || '>' AS o, CAST(n_nationkey AS BIGINT) AS pos FROM nation
-UNION ALL SELECT '<http://example.org/nation' || CAST(n_nationkey AS STRING) || '>', '<http://example.org/ns#name>', '"' || n_name || '"', CAST(n_nationkey AS BIGINT) + 1000 FROM nation
-UNION ALL SELECT '<http://example.org/region' || CAST(r_regionkey AS STRING) || '>', '<http://example.org/ns#name>', '"' || r_name || '"', CAST(r_regionkey AS BIGINT) + 2000 FROM region
-"""
 _ORG = f"""
 SELECT '<http://u/c' || CAST(c_custkey AS STRING) || '>' AS s, '{_TYPE}' AS p, CASE WHEN c_custkey % 3 = 0 THEN '{_ub("GraduateStudent")}' WHEN c_custkey % 3 = 1 THEN '{_ub("FullProfessor")}' ELSE '{_ub("UndergraduateStudent")}' END AS o FROM customer
 UNION ALL SELECT '<http://u/c' || CAST(c_custkey AS STRING) || '>', CASE WHEN c_custkey % 50 = 1 THEN '{_ub("headOf")}' ELSE '{_ub("worksFor")}' END, '<http://u/n' || CAST(c_nationkey AS STRING) || '>' FROM customer WHERE c_custkey % 3 = 1
@@ -160,21 +151,8 @@ UNION ALL SELECT '<http://u/r' || CAST(r_regionkey AS STRING) || '>', '{_ub("sub
 """
 
 
-def triples_of(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
-    """A triple table from SQL over some tables, which are views only while the plan is made."""
-    views = {t: f"{t}_{uuid.uuid4().hex}" for t in tables}
-    for t, view in views.items():
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
-        sql = re.sub(rf"FROM {t}\b", f"FROM {view}", sql)
-    df = spark.sql(sql)
-    df.schema  # analysed while the views are there
-    for view in views.values():
-        spark.catalog.dropTempView(view)
-    return df
-
-
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples_of(spark, sf_dir, _GEO, ("nation", "region"))
+    return geo_triples(spark, sf_dir)
 
 
 def _org(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,8 +279,8 @@ ORACLE_SQL |= {
     "project_api": 'SELECT DISTINCT l_suppkey AS "S", l_partkey AS "P" FROM lineitem',
     "insert_api": 'SELECT CAST(n_nationkey AS BIGINT) AS "N", CAST(n_regionkey AS BIGINT) AS "R" FROM nation UNION VALUES (0, 0), (100, 1), (101, 2)',
     "least_upper_bound": 'SELECT l_partkey AS "P", min(l_suppkey) AS "S" FROM lineitem WHERE l_suppkey >= 6 GROUP BY l_partkey',
-    "rdf_dictionary": f"WITH t AS ({_GEO}), f AS (SELECT v AS value, min(3 * pos + k) AS first FROM (SELECT s AS v, pos, 0 AS k FROM t UNION ALL SELECT p, pos, 1 FROM t UNION ALL SELECT o, pos, 2 FROM t) GROUP BY v) SELECT row_number() OVER (ORDER BY first) - 1 AS id, value FROM f",
-    "rdf_encoded": f"WITH t AS ({_GEO}), f AS (SELECT v AS value, min(3 * pos + k) AS first FROM (SELECT s AS v, pos, 0 AS k FROM t UNION ALL SELECT p, pos, 1 FROM t UNION ALL SELECT o, pos, 2 FROM t) GROUP BY v), d AS (SELECT row_number() OVER (ORDER BY first) - 1 AS id, value FROM f) SELECT DISTINCT a.id AS \"S\", b.id AS \"O\" FROM t JOIN d a ON a.value = s JOIN d b ON b.value = o WHERE p = '<http://example.org/inRegion>'",
+    "rdf_dictionary": f"WITH t AS ({GEO}), f AS (SELECT v AS value, min(3 * pos + k) AS first FROM (SELECT s AS v, pos, 0 AS k FROM t UNION ALL SELECT p, pos, 1 FROM t UNION ALL SELECT o, pos, 2 FROM t) GROUP BY v) SELECT row_number() OVER (ORDER BY first) - 1 AS id, value FROM f",
+    "rdf_encoded": f"WITH t AS ({GEO}), f AS (SELECT v AS value, min(3 * pos + k) AS first FROM (SELECT s AS v, pos, 0 AS k FROM t UNION ALL SELECT p, pos, 1 FROM t UNION ALL SELECT o, pos, 2 FROM t) GROUP BY v), d AS (SELECT row_number() OVER (ORDER BY first) - 1 AS id, value FROM f) SELECT DISTINCT a.id AS \"S\", b.id AS \"O\" FROM t JOIN d a ON a.value = s JOIN d b ON b.value = o WHERE p = '<http://example.org/inRegion>'",
     "rdf_bgp": "SELECT DISTINCT '\"' || n_name || '\"' AS x, '\"' || r_name || '\"' AS y FROM nation JOIN region ON n_regionkey = r_regionkey",
     "rdf_bgp_const": "SELECT DISTINCT '<http://example.org/nation' || CAST(n_nationkey AS STRING) || '>' AS x FROM nation WHERE n_regionkey = 1",
     **{f"entail_{step}": _step_sql(step) for step in _STEPS},
@@ -313,6 +291,11 @@ ORACLE_SQL |= {
 }
 
 
+for more in (catalogue_files, catalogue_tools):
+    QUERIES |= more.QUERIES
+    ORACLE_SQL |= more.ORACLE_SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers who buy from a supplier of their nation: a cyclic rule over four relations."""
     return QUERIES["cycle4"](spark, sf_dir)

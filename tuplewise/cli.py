@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import lab
 from .bench import definition as benches
@@ -34,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     def timing(q: argparse.ArgumentParser) -> None:
         q.add_argument("--samples", type=int, default=3)
         q.add_argument("--warmup", type=int, default=1)
+        q.add_argument("--measurement-time", type=float, default=0.0, help="seconds to go on taking samples")
+        q.add_argument("--name", help="the group's name in artefacts and reports")
         q.add_argument("--artefacts", default="bench-runs/artefacts")
         q.add_argument("--report")
 
@@ -64,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
             timing(q)
         if name == "ds":
             q.add_argument("relation")
+            q.add_argument("--metrics", nargs="+", default=["insertion", "iteration", "space"], choices=["insertion", "iteration", "space"])
             engine(q)
             timing(q)
         if name == "gen":
@@ -73,6 +77,11 @@ def parser() -> argparse.ArgumentParser:
             q.add_argument("--tag", required=True)
             q.add_argument("--distribution", default="uniform", choices=["uniform", "zipf"])
             q.add_argument("--force", action="store_true")
+            q.add_argument("--max-query-size", type=int)
+            q.add_argument("--query-count", type=int)
+            q.add_argument("--constants-per-query", type=int)
+            q.add_argument("--ontology")
+            q.add_argument("--queries", nargs="+", help="some of q1 to q14")
 
     r = sub.add_parser("rdf").add_subparsers(dest="rdf", required=True).add_parser("build", help="N-Triples and SPARQL to a benchmark folder")
     r.add_argument("triples")
@@ -83,11 +92,18 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--loose", action="store_true")
 
     v = sub.add_parser("lab", help="frames of reports as CSV")
-    v.add_argument("shape", choices=["summary", "samples", "dist", "bar-queries", "all", *lab.SHAPES])
+    v.add_argument("shape", choices=["summary", "samples", "dist", "bar-queries", "all", "compare", "bootstrap", "mann-whitney", *lab.SHAPES])
     v.add_argument("reports", nargs="+")
     v.add_argument("--artefacts", default="bench-runs/artefacts")
     v.add_argument("--data-structure", default="tree_trie")
     v.add_argument("--algorithm", default="auto")
+    v.add_argument("--phase", choices=["insertion", "iteration"])
+    v.add_argument("--group-by", default="data_structure", help="what tells baseline and target apart")
+    v.add_argument("--baseline")
+    v.add_argument("--target")
+    v.add_argument("--alternative", default="two-sided", choices=lab.ALTERNATIVES)
+    v.add_argument("--resamples", type=int, default=9999)
+    v.add_argument("--seed", type=int)
     v.add_argument("-o", "--output")
     return p
 
@@ -127,20 +143,25 @@ def _bench(a) -> None:
             indexes = INDEXES if a.indexstructure == "all" else (a.indexstructure,)
             for n in names:
                 made = benches.materialize(found[n][0], a.cache, lambda d, folder: generate(spark, d, folder), a.force)
-                reports += run_benchmark(spark, made, a.cache, a.artefacts, strategies, indexes, tuple(a.metrics), a.query, a.samples, a.warmup)
+                reports += run_benchmark(spark, made, a.cache, a.artefacts, strategies, indexes, tuple(a.metrics), a.query, a.samples, a.warmup, a.measurement_time, a.name)
             print(write_report(reports, a.report))
         return
     spark = session()
     if a.bench == "join":
-        print(write_report(run_join(spark, a.relations, Path(a.query).read_text().strip(), a.artefacts, a.algorithm, a.indexstructure, a.samples, a.warmup), a.report))
+        print(write_report(run_join(spark, a.relations, Path(a.query).read_text().strip(), a.artefacts, a.algorithm, a.indexstructure, a.samples, a.warmup, a.measurement_time, a.name), a.report))
     elif a.bench == "ds":
-        print(write_report(run_storage(spark, a.relation, a.artefacts, a.indexstructure, a.samples, a.warmup), a.report))
+        print(write_report(run_storage(spark, a.relation, a.artefacts, a.indexstructure, a.samples, a.warmup, a.measurement_time, a.name, tuple(a.metrics)), a.report))
     else:
         benches.check_tag(a.tag, a.workspace)
         if a.kind == "oxford":
             print(write_oxford(spark, str(Path(a.cache) / a.tag), a.scale, a.distribution, a.seed).name)
         else:
-            spec = {"kind": a.kind, "scale": a.scale} | ({"seed": a.seed} if a.kind == "lubm" else {})
+            spec: dict = {"kind": a.kind, "scale": a.scale, "seed": a.seed}
+            if a.kind == "lubm":
+                spec |= {k: v for k, v in (("ontology", a.ontology), ("queries", a.queries)) if v is not None}
+            else:
+                stress = {k: getattr(a, k) for k in ("max_query_size", "query_count", "constants_per_query") if getattr(a, k) is not None}
+                spec |= {"stress": stress} if stress else {}
             d = benches.Definition(a.tag, f"{a.kind} of scale {a.scale}", generator=spec)
             d.validate()
             print(benches.materialize(d, a.cache, lambda d, folder: generate(spark, d, folder), a.force).name)
@@ -159,25 +180,36 @@ def _rdf(a) -> None:
 def _lab(a) -> int:
     spark = session()
     summary = lambda: lab.load(spark, a.reports, a.artefacts)
+    samples = lambda: lab.load_samples(spark, a.reports, a.artefacts)
     if a.shape == "all":
-        skipped, out = 0, Path(a.output or ".")
+        made, out = 0, Path(a.output or ".")
         out.mkdir(parents=True, exist_ok=True)
-        for name, shape in lab.SHAPES.items():
+        for name, frame in lab.render_all(summary(), samples(), a.phase).items():
             try:
-                write_csv(shape(summary()), str(out / f"{name}.csv"))
+                write_csv(frame(), str(out / f"{name}.csv"))
+                made += 1
             except ReportError:
-                skipped += 1
-        return 3 if skipped == len(lab.SHAPES) else 0
+                continue
+        return 0 if made else 3
     if a.shape == "summary":
-        df = summary()
+        df = lab.of_phase(summary(), a.phase)
     elif a.shape == "samples":
-        df = lab.load_samples(spark, a.reports, a.artefacts)
+        df = samples()
     elif a.shape == "dist":
-        df = lab.shape_dist(lab.load_samples(spark, a.reports, a.artefacts))
+        df = lab.shape_dist(samples(), a.phase)
     elif a.shape == "bar-queries":
-        df = lab.shape_bar_queries(summary(), a.data_structure, a.algorithm)
+        df = lab.shape_bar_queries(summary(), a.data_structure, a.algorithm, a.phase)
+    elif a.shape == "compare":
+        df = lab.compare(lab.of_phase(summary(), a.phase), a.baseline, a.target, a.group_by)
+    elif a.shape in ("bootstrap", "mann-whitney"):
+        timed = lab.of_phase(samples().where("metric = 'time'").withColumn("phase", lab.phase_of(F.col("criterion_function"))), a.phase)
+        if a.shape == "mann-whitney":
+            df = lab.mann_whitney(timed, a.group_by, "per_iter_ns", a.baseline, a.target, a.alternative)
+        else:
+            side = lambda v: [r[0] for r in timed.where(F.col(a.group_by) == v).select("per_iter_ns").collect()]  # noqa: E731  samples of a person's runs
+            df = spark.createDataFrame([lab.bootstrap_ratio_ci(side(a.baseline), side(a.target), a.resamples, seed=a.seed)], "ratio double, low double, high double")
     else:
-        df = lab.SHAPES[a.shape](summary())
+        df = lab.SHAPES[a.shape](summary(), phase=a.phase)
     write_csv(df, a.output)
     return 0
 

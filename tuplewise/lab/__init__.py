@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import glob
 import json
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ReportError
+from ..storage import durable
 
 #: The columns of a summary.
 STR_AXES = ("data_structure", "algorithm", "query", "benchmark", "relation_path")
@@ -127,30 +130,50 @@ def bootstrap_ratio_ci(a, b, resamples: int = 9999, level: float = 0.95, seed: i
     if not len(a) or not len(b):
         raise ReportError("an empty sample")
     rng = np.random.default_rng(seed)
-    ratios = np.array([rng.choice(a, len(a)).mean() / rng.choice(b, len(b)).mean() for _ in range(resamples)])
+    step = max(1, 1_000_000 // max(len(a), len(b)))
+    means = lambda x, n: x[rng.integers(0, len(x), (n, len(x)))].mean(axis=1)
+    ratios = np.concatenate([means(a, n) / means(b, n) for n in (min(step, resamples - at) for at in range(0, resamples, step))])
     low, high = np.quantile(ratios, [(1 - level) / 2, (1 + level) / 2])
     return float(a.mean() / b.mean()), float(low), float(high)
 
 
-def mann_whitney(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
-    """One row (n1, n2, u1, z, p_two_sided): the U statistic of two groups, normal approximation with tie and continuity correction.
+ALTERNATIVES = ("two-sided", "less", "greater")
 
-    Ranks come from counts of each distinct value, so only distinct values are sorted, and ties get their mean rank.
+
+def mann_whitney(df: DataFrame, group: str, value: str, first, second, alternative: str = "two-sided") -> DataFrame:
+    """One row (n1, n2, u1, z, p): the U statistic of two groups, normal approximation with tie and continuity correction.
+
+    `alternative`: whether the first group's values differ, are less, or are greater. Ranks come from counts of each distinct value, so ties get
+    their mean rank. Distinct values are dealt to ranges; what lies below a range are the sums of those before it, a row each.
     """
-    counts = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank2", 2 * below + F.col("t") + 1)  # twice the mean rank: whole numbers
+    if alternative not in ALTERNATIVES:
+        raise ReportError(f"unknown alternative {alternative!r}")
+    counts = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == first).alias("a"), F.count("*").alias("t"))
+    ranged = durable(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()), "ranked")
+    inside = F.coalesce(F.sum("t").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    offsets = ranged.groupBy("part").agg(F.sum("t").alias("sum")).select("part", before.alias("before"))
+    ranked = ranged.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("rank2", 2 * (F.col("inside") + F.col("before")) + F.col("t") + 1)  # twice the mean rank: whole numbers
     s = ranked.agg(F.sum("a").alias("n1"), (F.sum("t") - F.sum("a")).alias("n2"), F.sum(F.col("a") * F.col("rank2")).alias("r2"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     out = s.withColumn("u1", (F.col("r2") - n1 * (n1 + 1)) / 2)
     sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    out = out.withColumn("z", F.signum(F.col("u1") - n1 * n2 / 2) * F.greatest(F.abs(F.col("u1") - n1 * n2 / 2) - 0.5, F.lit(0.0)) / sd)
-    # complementary error function (Abramowitz and Stegun 7.1.26)
-    x = F.abs("z") / F.sqrt(F.lit(2.0))
+    off = F.col("u1") - n1 * n2 / 2
+    if alternative == "two-sided":
+        out = out.withColumn("z", F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / sd)
+        return out.select("n1", "n2", "u1", "z", F.least(_erfc(F.abs("z")), F.lit(1.0)).alias("p"))
+    out = out.withColumn("z", (off + (0.5 if alternative == "less" else -0.5)) / sd)
+    tail = _erfc(F.abs("z")) / 2
+    beyond = F.col("z") > 0 if alternative == "greater" else F.col("z") < 0
+    return out.select("n1", "n2", "u1", "z", F.when(beyond, tail).otherwise(1 - tail).alias("p"))
+
+
+def _erfc(z: Column) -> Column:
+    """Complementary error function of z / sqrt(2) for z >= 0 (Abramowitz and Stegun 7.1.26)."""
+    x = z / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * x)
-    erfc = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return out.select("n1", "n2", "u1", "z", F.least(erfc, F.lit(1.0)).alias("p_two_sided"))
+    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
 def _need(df: DataFrame, ok: bool, what: str) -> DataFrame:
@@ -159,36 +182,60 @@ def _need(df: DataFrame, ok: bool, what: str) -> DataFrame:
     return df
 
 
-def shape_scaling(s: DataFrame) -> DataFrame:
+def of_phase(s: DataFrame, phase: str | None) -> DataFrame:
+    """Rows of one phase; all if none is named."""
+    return s.where(F.col("phase") == phase) if phase else s
+
+
+def shape_scaling(s: DataFrame, phase: str | None = None) -> DataFrame:
     """Mean time by tuples, where there are two sizes or more."""
-    t = s.where("metric = 'time' and tuples is not null")
+    t = of_phase(s, phase).where("metric = 'time' and tuples is not null")
     return _need(t.groupBy("data_structure", "algorithm", "phase", "tuples").agg(F.avg("mean_ns").alias("mean_ns")).orderBy("data_structure", "algorithm", "phase", "tuples"), t.select("tuples").distinct().count() >= 2, "scaling needs two sizes")
 
 
-def shape_bar_time(s: DataFrame, query: str | None = None) -> DataFrame:
-    t = s.where("metric = 'time'")
+def shape_bar_time(s: DataFrame, query: str | None = None, phase: str | None = None) -> DataFrame:
+    t = of_phase(s, phase).where("metric = 'time'")
     t = t.where(F.col("query") == query) if query else t
     return _need(t.groupBy("query", "data_structure", "algorithm", "phase").agg(F.avg("mean_ns").alias("mean_ns"), F.min("mean_lo").alias("mean_lo"), F.max("mean_hi").alias("mean_hi")).orderBy("query", "data_structure", "algorithm"), True, "no times")
 
 
-def shape_bar_space(s: DataFrame) -> DataFrame:
+def shape_bar_space(s: DataFrame, phase: str | None = None) -> DataFrame:
+    """Mean bytes of each structure; sizes have no phase."""
     return _need(s.where("metric = 'space'").groupBy("data_structure").agg(F.avg("mean_ns").alias("bytes")).orderBy("data_structure"), True, "no sizes")
 
 
-def shape_tradeoff(s: DataFrame) -> DataFrame:
+def shape_tradeoff(s: DataFrame, phase: str | None = None) -> DataFrame:
     """Mean time against mean space of each report."""
+    s = s.where(F.col("metric") != "time").unionByName(of_phase(s.where("metric = 'time'"), phase))
     keys = ["source_path", "data_structure", "algorithm"]
     part = lambda m, name: s.where(F.col("metric") == m).groupBy(*keys).agg(F.avg("mean_ns").alias(name))
     return _need(part("time", "time_ns").join(part("space", "bytes"), keys).orderBy(*keys), True, "a trade-off needs times and sizes")
 
 
-def shape_dist(samples: DataFrame) -> DataFrame:
+def shape_dist(samples: DataFrame, phase: str | None = None) -> DataFrame:
+    samples = of_phase(samples.withColumn("phase", phase_of(F.col("criterion_function"))), phase)
     return _need(samples.where("metric = 'time'").select("query", "data_structure", "algorithm", "criterion_function", "sample", "per_iter_ns").orderBy("criterion_function", "sample"), True, "no samples")
 
 
-def shape_bar_queries(s: DataFrame, data_structure: str, algorithm: str) -> DataFrame:
-    t = s.where((F.col("metric") == "time") & (F.col("data_structure") == data_structure) & (F.col("algorithm") == algorithm))
+def shape_bar_queries(s: DataFrame, data_structure: str, algorithm: str, phase: str | None = None) -> DataFrame:
+    t = of_phase(s, phase).where((F.col("metric") == "time") & (F.col("data_structure") == data_structure) & (F.col("algorithm") == algorithm))
     return _need(t.groupBy("query").agg(F.avg("mean_ns").alias("mean_ns")).orderBy("query"), True, "no times of this kind")
 
 
 SHAPES = {"scaling": shape_scaling, "bar-time": shape_bar_time, "bar-space": shape_bar_space, "tradeoff": shape_tradeoff}
+
+
+def render_all(summary: DataFrame, samples: DataFrame, phase: str | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """Every frame by name: the six shapes, bar-time for each query and bar-queries for each structure and algorithm. Shapes without data raise ReportError."""
+    out: dict[str, Callable[[], DataFrame]] = {name: partial(SHAPES[name], summary, phase=phase) for name in ("scaling", "bar-space", "tradeoff")}
+    out["dist"] = partial(shape_dist, samples, phase=phase)
+    timed = summary.where("metric = 'time'")
+    for (q,) in sorted(timed.select("query").where("query is not null").distinct().collect()):  # a person's runs
+        out[f"bar-time-{_file_name(q)}"] = partial(shape_bar_time, summary, q, phase)
+    for ds, algorithm in sorted(timed.select("data_structure", "algorithm").dropna().distinct().collect()):
+        out[f"bar-queries-{_file_name(ds)}-{_file_name(algorithm)}"] = partial(shape_bar_queries, summary, ds, algorithm, phase)
+    return out
+
+
+def _file_name(text: str) -> str:
+    return re.sub(r"[^A-Za-z0-9._-]+", "_", text)[:80]

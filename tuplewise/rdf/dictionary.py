@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,10 +32,16 @@ def build_dictionary(triples: DataFrame) -> DataFrame:
     return dense_ids(first, "first").select("id", "value")
 
 
-def encode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(s, p, o) as ids. Each join shuffles on the term; frequent terms are split by adaptive execution."""
+def encode(triples: DataFrame, dictionary: DataFrame, predicates: Mapping[str, int] | None = None) -> DataFrame:
+    """(s, p, o) as ids. Joins shuffle on the term; frequent ones are split by adaptive execution.
+
+    With the ids of all predicates (a schema's worth) those are a constant map, so the few predicates that most triples have make no join keys.
+    """
     out = triples.select("s", "p", "o")
-    for c in ("s", "p", "o"):
+    if predicates:
+        known = F.create_map(*[F.lit(x) for item in predicates.items() for x in item])
+        out = out.withColumn("p_id", known[F.col("p")])
+    for c in ("s", "p", "o") if not predicates else ("s", "o"):
         out = out.join(dictionary.select(F.col("value").alias(c), F.col("id").alias(f"{c}_id")), c)
     return out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o"))
 

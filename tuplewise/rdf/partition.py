@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidDataError
+
 
 def sanitize_predicate(iri: str) -> str:
     """A relation's name from a predicate: what follows the last `#`, else the last path segment, in lower-case letters, digits and `_`."""
@@ -32,9 +34,16 @@ def predicate_names(ids: Mapping[str, int]) -> dict[str, str]:
     return out
 
 
+#: More predicates than this are no schema; a relation for each would be of no use.
+MOST_PREDICATES = 10_000
+
+
 def predicates(triples: DataFrame) -> list[str]:
-    """Distinct predicates: a schema's worth of values."""
-    return sorted(r["p"] for r in triples.select("p").distinct().collect())
+    """Distinct predicates."""
+    found = sorted(r["p"] for r in triples.select("p").distinct().limit(MOST_PREDICATES + 1).collect())
+    if len(found) > MOST_PREDICATES:
+        raise InvalidDataError(f"more than {MOST_PREDICATES} predicates")
+    return found
 
 
 def vertical(encoded: DataFrame, names: Mapping[str, str], ids: Mapping[str, int]) -> dict[str, DataFrame]:

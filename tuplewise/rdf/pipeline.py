@@ -71,8 +71,8 @@ def build_store(triples: DataFrame, entailed: bool = False) -> Store:
         place = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.xxhash64("s", "p", "o").alias("line"))
         triples = closed.withColumn("pos", place)
     dictionary = durable(dictionaries.build_dictionary(triples), "dictionary")
-    encoded = durable(dictionaries.encode(triples, dictionary), "encoded")
     ids = dictionaries.lookup(dictionary, predicates(triples))
+    encoded = durable(dictionaries.encode(triples, dictionary, ids), "encoded")
     return Store(spark, dictionary, encoded, predicate_names(ids), ids, stats)
 
 
