@@ -61,7 +61,7 @@ def test_university_counts_equal_a_plain_evaluation(spark):
                     where.append(f"t{n}.{column} = '{term}'")
             n += 1
         wanted = ", ".join(seen[v] for v in re.findall(r"\?\w+", text[: text.index("{")]))
-        (count,) = con.sql(f"SELECT count(*) FROM (SELECT DISTINCT {wanted} FROM {', '.join(f't t{i}' for i in range(n))} WHERE {' AND '.join(where)})").fetchone()
+        ((count,),) = con.sql(f"SELECT count(*) FROM (SELECT DISTINCT {wanted} FROM {', '.join(f't t{i}' for i in range(n))} WHERE {' AND '.join(where)})").fetchall()
         assert catalogue_files.LUBM_COUNTS[q] == count, (q, count)
     assert ub("x").startswith("<")
 
