@@ -86,6 +86,33 @@ def test_cuts_follow_content():
     assert token_store.cut_points(ids[:0], gear) == [] and token_store.cut_points(ids[:1], gear) == [1]
 
 
+def test_block_cuts_equal_those_of_each_document():
+    rng = np.random.default_rng(4)
+    gear = token_store.gear_table(50_000)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in (1, 0, 7, 300, 20_000, 256, 1, 9_000, 257)]
+    assert token_store.cut_block([d.tobytes() for d in docs], gear) == [token_store.cut_points(d, gear) for d in docs]
+    assert token_store.cut_block([], gear) == []
+
+
+def test_runs_of_white_space_are_noticed():
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tuplewise.llm import pieces
+
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    rng = random.Random(9)
+    texts = ["", " ", "  ", "a ", " a", "a  b", "\n", " \n", "\n ", "x \n"] + [x for s in spaces for x in (f"a{s} b", f"a {s}b", f"a{s} ", f"{s} {s}", f" {s}")]
+    texts += ["".join(rng.choice([" ", "a", *spaces[:6]]) for _ in range(rng.randrange(7))) for _ in range(3000)]
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = split.values.dictionary_encode()
+    got = pieces.inside_runs(coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), split.offsets.to_numpy())
+    for text, found in zip(texts, got.tolist(), strict=True):
+        assert found or not re.search(r"\s (?:\s|\Z)", text), text
+
+
 def test_crc_of_parts():
     a, b = b"hello" * 7, b"world" * 1000
     share = token_store.crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]

@@ -12,14 +12,13 @@ ids of all texts are then gathered from those of the words by numpy, as one flat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 #: Words that the table holds before it begins anew; longer words aren't kept.
 WORDS, LONGEST = 800_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -61,7 +60,7 @@ class WordTable:
             self.clear()
         names = strings(words)
         get = self.place.get
-        out = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+        out = np.fromiter(map(get, names, repeat(-1)), np.int64, len(names))
         lacking = np.flatnonzero(out < 0)
         if len(lacking):
             flat, sizes = encode(words.take(pa.array(lacking)))
@@ -106,34 +105,48 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        out = [b""] * len(texts)
-        regular = np.array([not INSIDE_RUN.search(t) for t in texts], bool)
-        whole = np.flatnonzero(~regular).tolist()
-        for i, x in zip(whole, self.encode_texts([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        some = np.flatnonzero(regular).tolist()
-        if not some:
-            return out
-        split = pc.split_pattern(pa.array([texts[i] for i in some], pa.large_string()), " ")
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        index = coded.indices.to_numpy()
-        # a text's first piece has no space before it: it is a unit of its own
+        index = coded.indices.to_numpy().copy()
+        pieces = coded.dictionary.cast(pa.string())
         heads = offsets[:-1]
-        flat, sizes, first, second = self._units(coded.dictionary.cast(pa.string()))
-        more, more_sizes = pack_units(self.encode_texts(strings(split.values.take(pa.array(heads)))))
-        base = len(sizes)
+        whole = np.flatnonzero(inside_runs(pieces, index, offsets)).tolist()
+        flat, sizes, first, second = self._units(pieces)
         # -1 picks an empty run at the end
-        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes, [0]])
+        sizes = np.append(sizes, 0)
         starts = np.cumsum(sizes) - sizes
-        order = np.empty((len(index), 2), np.int64)
-        np.take(first, index, out=order[:, 0])
-        np.take(second, index, out=order[:, 1])
-        order[heads, 0], order[heads, 1] = base + np.arange(len(heads)), -1
-        ids = ragged(flat, starts, sizes, order.ravel())
-        ends = np.cumsum(sizes[order[:, 0]] + sizes[order[:, 1]])
-        bounds = np.concatenate([[0], ends])[offsets]
-        raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-        for i, a, b in zip(some, (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True):
-            out[i] = bytes(raw[a:b])
+        order = np.stack([first, second], axis=1).ravel()
+        ids = ragged(flat, starts, sizes, order)
+        # a text's first piece has no space before it: it is a unit of its own
+        more, more_sizes = pack_units(self.encode_texts(strings(split.values.take(pa.array(heads)))))
+        ends = 4 * np.cumsum(np.concatenate([[0], sizes[first] + sizes[second], more_sizes]))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([ids, more]))])
+        index[heads] = np.arange(len(pieces), len(units))
+        # all ids, one text behind the other
+        taken = units.take(pa.array(index))
+        _, at, data = taken.buffers()
+        bounds = np.frombuffer(at, np.int64)[offsets].tolist()
+        raw = memoryview(data)
+        out = [bytes(raw[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i, x in zip(whole, self.encode_texts([texts[i] for i in whole]), strict=True):
+            out[i] = x
         return out
+
+
+def inside_runs(pieces: pa.Array, index: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have a space with white space before it and, behind it, white space or the end; pieces: what stands between spaces."""
+    size = pc.binary_length(pieces).to_numpy()
+    empty = size == 0
+    opens = empty | (pc.binary_length(pc.utf8_ltrim_whitespace(pieces)).to_numpy() < size)
+    closes = empty | (pc.binary_length(pc.utf8_rtrim_whitespace(pieces)).to_numpy() < size)
+    before, after = closes[index], opens[index]
+    heads = offsets[:-1]
+    # nothing stands before an empty first piece, and no space before any first piece
+    before[heads] &= ~empty[index[heads]]
+    bad = np.zeros(len(index), bool)
+    bad[1:] = before[:-1] & after[1:]
+    bad[heads] = False
+    return np.logical_or.reduceat(bad, heads)

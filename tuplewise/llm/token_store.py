@@ -123,10 +123,13 @@ def rolling_hash(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(ids: np.ndarray, gear: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    places = (np.flatnonzero(rolling_hash(ids, gear) >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist()
+def candidate_cuts(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
+    """Places behind which a chunk may end: where the rolling hash's top bits are zero."""
+    return np.flatnonzero(rolling_hash(ids, gear) >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def cuts_between(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of n ids, from the candidate places in it."""
     ends, last = [], 0
     for p in [*places, n]:
         while p - last > MOST:
@@ -140,6 +143,20 @@ def cut_points(ids: np.ndarray, gear: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray, gear: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document's ids."""
+    return cuts_between(candidate_cuts(ids, gear).tolist(), len(ids))
+
+
+def cut_block(raws: list[bytes], gear: np.ndarray) -> list[list[int]]:
+    """cut_points() of many documents, hashed in one go: no chunk ends in the first LEAST ids, where a hash would reach into the document before."""
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+    places = candidate_cuts(np.frombuffer(b"".join(raws), "<u4"), gear)
+    starts = np.cumsum(sizes) - sizes
+    at = np.searchsorted(places, np.append(starts, starts[-1:] + sizes[-1:]), side="right").tolist()
+    return [cuts_between((places[a:b] - start).tolist() if b > a else [], n) for a, b, start, n in zip(at, at[1:], starts.tolist(), sizes.tolist(), strict=False)]
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; leaves and inner nodes are hashed under different prefixes, an odd one moves up."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
@@ -166,10 +183,9 @@ def cut_documents(df: DataFrame, text_col: str, id_col: str, tokenizer: str) ->
         def work(texts):
             out = {"n_tokens": [], "root": [], "chunk_ids": [], "lengths": [], "chunks": []}
             for _, part in blocks(texts, 4 * BLOCK_CHARS):
-                for raw in enc.encode(part):
-                    raw += end
+                raws = [raw + end for raw in enc.encode(part)]
+                for raw, ends in zip(raws, cut_block(raws, gear), strict=True):
                     ids = np.frombuffer(raw, "<u4")
-                    ends = cut_points(ids, gear)
                     cuts = list(zip([0, *ends], ends, strict=False))
                     names = [hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in cuts]
                     out["n_tokens"].append(len(ids))
