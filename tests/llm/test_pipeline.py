@@ -55,6 +55,20 @@ def test_stages_keep_the_columns(spark, docs, odd):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_run_on_odd_and_empty_tables(spark, odd, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name, frame in (("odd", docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text", "lang", "source", "n_chars")).withColumn("h1", F.lit(1)).withColumn("kept_id", F.lit(2))), ("empty", odd.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
+    ids = [r.doc_id for r in rows]
+    # the row without an id is a text of its own; 3 to 5 have no words
+    assert ids.count(None) <= 1 and len(set(ids)) == len(ids) and len(rows) > 50 and all(r.n_tokens > 0 for r in rows)
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").count() == 0
+
+
 def test_registered():
     names = entry.queries()
     for n in range(1, 11):

@@ -66,6 +66,23 @@ def durable_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Intermediates that are deleted together, once what was made of them is written."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def durable(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = durable_at(df, name)
+        self.held.append((df.sparkSession, path))
+        return out
+
+    def drop(self) -> None:
+        for spark, path in self.held:
+            drop_path(spark, path)
+        self.held = []
+
+
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of neighbouring texts of about `limit` characters, nulls as empty; a longer text is a run of its own."""
     at, size, out = 0, 0, []

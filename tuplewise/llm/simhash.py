@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, durable, map_texts, ship_package
+from .common import Scratch, blocks, durable, map_texts, ship_package
 from .components import connected_components
 
 RADIUS, BITS, SHARD, SEED = 2, 64, 1024, 42
@@ -237,11 +237,13 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     of their own. A null id is kept, and never names a component unless nothing else is in it. An empty table
     gives an empty one. Other columns of df, whatever their names, are not read.
     """
+    scratch = Scratch()
     rows = durable(fingerprints(df, text_col, id_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    distinct = scratch.durable(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     classes = connected_components(fingerprint_links(distinct.select("fp"), shard))
     linked = distinct.join(classes, distinct.fp == classes.node).select("fp", "first", "component")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     linked = linked.join(least, "component").select(F.col("fp").alias("linked_fp"), "least")
     named = durable(distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
+    scratch.drop()
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
