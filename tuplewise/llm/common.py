@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -97,6 +99,13 @@ def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[
         yield at, out
 
 
+def give_back() -> None:
+    """Return memory that a task no longer needs; the worker process lives on, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make: Callable[[], Callable[[list[str | None]], dict[str, list]]]) -> DataFrame:
     """Keep `keep`, add what make()'s function finds for each text.
 
@@ -129,6 +138,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
                 columns += [pa.array(found[f.name], type=arrow.field(f.name).type) for f in added]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 start = stop
+        give_back()
 
     named = [c.alias(f"k{i}") for i, c in enumerate(quoted(keep))]
     return df.select(*named, F.col(text_col).cast("string").alias(text_name)).mapInArrow(run, out).toDF(*keep, *added.names)

@@ -181,7 +181,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null").where(doc_crc(F.col("id")) % 5 != 0)
     ids = sample_ids(labelled, "id", F.col("lang"), per_lang, salt=2)
-    chosen = labelled.join(ids.select("id").distinct(), "id", "left_semi")
+    most = 2 * per_lang * max(1, ids.select("label").distinct().count())
+    chosen = labelled.join(F.broadcast(bounded(ids.select("id").distinct(), most)), "id", "left_semi")
 
     def make():
         def work(texts):
@@ -189,7 +190,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
         return work
 
-    most = 2 * per_lang * max(1, ids.select("label").distinct().count())
     rows = map_texts(bounded(chosen, most), ["id", "lang"], "text", "x binary", make).collect()
     rows.sort(key=lambda r: (r["id"], r["lang"], r["x"]))
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], np.float32).reshape(len(rows), DIM)

@@ -174,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(doc_crc(F.col("id")) % 3 != 1)
     marked = marked.groupBy("id").agg(F.min("label").alias("label"))
     ids = sample_ids(marked, "id", F.col("label"), per_class, salt=6).select(F.col("id").alias("__id"), F.col("label").alias("__label"))
-    chosen = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(ids, F.col("__doc") == F.col("__id")).select("__doc", "__label", "__text")
+    most = 2 * per_class * max(1, ids.select("__label").distinct().count())
+    chosen = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(bounded(ids, most)), F.col("__doc") == F.col("__id")).select("__doc", "__label", "__text")
 
     def make():
         def work(texts):
@@ -183,7 +184,6 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
         return work
 
-    most = 2 * per_class * max(1, ids.select("__label").distinct().count())
     rows = map_texts(bounded(chosen, most), ["__doc", "__label"], "__text", "places binary, shares binary", make).collect()
     rows.sort(key=lambda r: (r["__doc"], r["places"], r["shares"]))
     return fit([(np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["shares"], "<f4")) for r in rows], [r["__label"] for r in rows])
