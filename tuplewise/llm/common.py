@@ -22,16 +22,22 @@ BLOCK_CHARS = 1_000_000
 BATCH_ROWS = 2_000
 
 
+#: Python workers stand beside each other in an executor's memory: what one frees has to go back.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "OMP_NUM_THREADS": "1"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver's path has it, and bound their batches."""
+    """Let Python workers import this package even where only the driver's path has it, and bound their batches and memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
