@@ -1 +1,5 @@
-"""No operator of the query language is a stream operator; relations are bounded tables."""
+"""Rules over relations that grow: results that new tuples add, batch by batch."""
+
+from .incremental import added_results, follow
+
+__all__ = ["added_results", "follow"]
