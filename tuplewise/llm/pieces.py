@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that the table holds before it begins anew; longer words aren't kept.
-WORDS, LONGEST = 400_000, 64
+WORDS, LONGEST = 700_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer runs of marks are encoded with their word.
 TAIL = 8
