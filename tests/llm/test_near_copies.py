@@ -47,6 +47,17 @@ def test_all_pairs_of_four_fifths_are_linked(spark):
     assert got == sorted(str((i, c)) for (i, _), c in zip(rows, want, strict=True)) and 20 < len(set(want)) < len(rows) - 40
 
 
+def test_every_text_is_counted(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40))) for _ in range(300)] + [None, ""]
+    got = near_copies.bin_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7), "text")
+    want = np.zeros(1 << near_copies.BIN_BITS, np.int64)
+    for t in texts:
+        np.add.at(want, near_copies.bins_of(near_copies.shingle_set(t)), 1)
+    assert (got == want).all() and got.sum() == sum(len(brute(t)) for t in texts)
+    assert not near_copies.bin_counts(spark.createDataFrame([], "text string"), "text").any()
+
+
 def test_forest_and_the_rest_reach_every_passing_pair():
     rng = np.random.default_rng(3)
     parity = rng.integers(0, 2**63, (60, near_copies.PARITY // 64), dtype=np.int64).astype(np.uint64)

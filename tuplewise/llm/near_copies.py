@@ -3,7 +3,7 @@
 SimHash alone can't find these: at a similarity of 0.8 fingerprints differ in some 10 of 64 bits. So the stage has two steps.
 First the SimHash operator's links (BK-trees, simhash.py) over 5-word shingles propose pairs. Then prefix filtering finds the rest and loses no
 pair: in any one order of all shingles, two sets with a similarity of 4/5 share one of the first n - ceil(4n/5) + 1 of each. The order
-puts shingles that are frequent in a sample last, so common passages make no groups; the sample has no bearing on results.
+puts frequent shingles last, so common passages make no groups. Every text is counted, in bins of the shingles' hashes; any order gives the same links.
 
 Inside a group of sets that share such a shingle, 512 parity bits of each set are compared: those that differ are at
 most as many as the shingles that only one set has, and similar sets have at most a ninth of both their sizes of these. Every
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, drop_path, durable, durable_at, fresh, map_texts, quoted
+from .common import Scratch, blocks, drop_path, durable, durable_at, fresh, give_back, map_texts, quoted, ship_package
 from .components import connected_components
 from .simhash import SHARD, fingerprint_links, fingerprint_of, signed
 
 WORDS, PARITY, SEED = 5, 512, 42
-#: Frequencies are estimated from one text in SHARE (from SAMPLE texts at least), and of the shingles found so many are kept: these set the order only.
-SHARE, SAMPLE, FREQUENT = 16, 8_000, 500_000
+#: Bins of shingles, as bits of their hashes, and bins that travel in one row: their counts over all texts set the order only.
+BIN_BITS, BINS_A_ROW = 18, 1 << 12
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -50,25 +50,45 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def _frequent(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found more than once in a sample, ascending, and their counts there."""
-    share = min(SHARE, max(1, df.count() // SAMPLE))
-    texts = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+def bins_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BIN_BITS)).astype(np.int64)
 
-    def make():
-        return lambda texts: {"shingles": [shingle_set(t).view(np.int64) for _, part in blocks(texts) for t in part]}
 
-    counts = map_texts(texts, [], "text", "shingles array<long>", make).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    found = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    names, n = (found.column(i).to_numpy() for i in range(2))
-    names = names.astype(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], n.astype(np.int64)[order]
+def bin_counts(df: DataFrame, text_col: str) -> np.ndarray:
+    """How many shingles of all texts' sets fall in each bin; rows of equal texts count each."""
+    ship_package(df.sparkSession)
+    parts = (1 << BIN_BITS) // BINS_A_ROW
+
+    def rows(counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(parts, -1)], pa.binary())], names=["part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BIN_BITS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for _, part in blocks(batch.column(0).slice(at, 64).to_pylist()):
+                    counts += np.bincount(bins_of(np.concatenate([shingle_set(t) for t in part])), minlength=len(counts))
+        yield rows(counts)
+        give_back()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(held, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
+    out = np.zeros((parts, BINS_A_ROW), np.int64)
+    for part, held in counted.repartition("part").mapInArrow(total, schema).collect():  # a row for each part
+        out[part] = np.frombuffer(held, np.int64)
+    return out.reshape(-1)
 
 
 def prefixes(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """(key, n, fp, parity, prefix) of each text's set, behind the columns of `keep`."""
-    names, counts = _frequent(df, text_col)
+    counts = bin_counts(df, text_col)
 
     def make():
         def work(texts):
@@ -76,10 +96,7 @@ def prefixes(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             for _, part in blocks(texts):
                 for text in part:
                     s = shingle_set(text)
-                    rank = np.zeros(len(s), np.int64)
-                    if len(names):
-                        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                        rank = np.where(names[at] == s, counts[at], 0)
+                    rank = counts[bins_of(s)]
                     out["key"].append(set_key(s))
                     out["n"].append(len(s))
                     out["fp"].append(signed(fingerprint_of(s.astype(">u8").tobytes())))
