@@ -62,3 +62,24 @@ def test_skewed_cells_are_counted(spark):
     nodes = [planner.Node(frozenset(v), df.toDF(*v), 500, {}) for v in ("AB", "AC", "BC")]
     assert cells.largest_cell(nodes, {"A": 4, "B": 1, "C": 1}) == 1500
     assert cells.largest_cell(nodes, {"A": 4, "B": 2, "C": 2}) < 1500
+
+
+@pytest.mark.parametrize("slab", [200, cells.SLAB_ROWS])
+@pytest.mark.parametrize(("body", "copied"), [(("AB", "AC", "BC"), 0), (("AB", "BC", "CD", "AD"), 2)])
+def test_cells_read_blocks_again_instead_of_copies(spark, monkeypatch, body, copied, slab):
+    """The rows of a triangle's atoms are shuffled once, however many cells they belong to."""
+    monkeypatch.setattr(cells, "SLAB_ROWS", slab)
+    rng = random.Random(3)
+    sets = [sorted({(rng.randrange(25), rng.randrange(25)) for _ in range(150)}) for _ in body]
+    nodes = [planner.Node(frozenset(vs), spark.createDataFrame(rows, ", ".join(f"{v} long" for v in vs)), len(rows), {}) for vs, rows in zip(body, sets, strict=True)]
+    shares = {v: 2 for v in sorted(set("".join(body)))}
+    df = cells.join_cells(nodes, shares, frozenset(shares))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # the result's lists, and atoms that lack a variable besides the one that lies across
+    assert plan.count("Generate explode") == 1 + copied and "CartesianProduct" in plan
+    want = [{}]
+    for vs, rows in zip(body, sets, strict=True):
+        want = [w | dict(zip(vs, t, strict=True)) for w in want for t in rows if all(w.get(v, x) == x for v, x in zip(vs, t, strict=True))]
+    got = [tuple(r) for r in df.select(*shares).collect()]
+    assert len(got) == len(want) and set(got) == {tuple(w[v] for v in shares) for w in want}
+    assert cells.rows_stored(nodes, shares, cells.across(nodes, shares)) <= sum(n.rows for n in nodes) * (1 if not copied else 1.6)
